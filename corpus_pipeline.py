@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import decontaminate, toxicity
+from flowlens.llm import decontaminate, mixing, near_dedup, packing, toxicity
 from flowlens.llm.common import table
 
 
@@ -18,11 +18,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_harmless(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs, width=5, percent=85)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), width=13, one_in=20)
 
 
-STAGES = [("toxicity", drop_toxic), ("decontamination", drop_contaminated)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, seed=17, power=0.7, keep=0.8)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, size=2048)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix_sources), ("packing", pack_tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
