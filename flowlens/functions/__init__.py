@@ -1 +1 @@
-"""."""
+"""Column functions and table helpers."""

@@ -1 +1 @@
-"""."""
+"""Named queries over the test tables, each with SQL to hold it against."""
