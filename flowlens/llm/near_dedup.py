@@ -37,7 +37,7 @@ PATHS, SKETCH = 32, 96
 #: Independent trees. A pair of similarity s shares a node below some root but for (1 - s) ** TREES of cases.
 TREES = 24
 #: Classes in a node that is compared exhaustively, at most; levels of branching below the root.
-NODE_SIZE, LEVELS = 1024, 6
+NODE_SIZE, LEVELS = 4096, 6
 #: Standard errors by which a sketch may fall short of the threshold.
 SLACK = 4.0
 #: Classes and shingles of a group that one task links, at most; beyond, classes in a block.
@@ -119,22 +119,13 @@ def _profile(width: int):
                     doc_id=ids[part.start : part.stop],
                     n_shingles=pa.array([len(s) for s in sets], pa.int64()),
                     digest=pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    paths=pa.array([s[:PATHS].tobytes() for s in sig], pa.binary()),
+                    paths=pa.ListArray.from_arrays(np.arange(len(sig) + 1, dtype=np.int32) * PATHS, pa.array(np.ascontiguousarray(sig[:, :PATHS]).reshape(-1).view(np.int32))),
                     sketch=pa.array([s.tobytes() for s in low], pa.binary()),
                 )
 
     return run
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tree t's root chooses coordinate t."""
-    for b in batches:
-        if b.num_rows:
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, PATHS)[:, :TREES].astype(np.uint64)
-            keys = mix64(sig + (np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(32)))
-            yield batch(node=pa.array(keys.reshape(-1).view(np.int64)), rep=pa.array(np.repeat(b.column(0).to_numpy(), TREES)))
-
-
 def _branch(share: float):
     """Children of a large node: it chooses each coordinate with the probability ``share``."""
     limit = np.uint64(int(share * 2.0**64))
@@ -144,7 +135,7 @@ def _branch(share: float):
         for b in batches:
             if b.num_rows:
                 node = b.column(0).to_numpy().view(np.uint64)
-                sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, PATHS)
+                sig = b.column(2).flatten().to_numpy().view(np.uint32).reshape(-1, PATHS)
                 row, c = np.nonzero(mix64(node[:, None] ^ coordinate[None, :]) < limit)
                 keys = mix64(mix64(node[row] + coordinate[c]) ^ sig[row, c].astype(np.uint64))
                 yield batch(node=pa.array(keys.view(np.int64)), rep=pa.array(b.column(1).to_numpy()[row]))
@@ -235,8 +226,15 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _top(least: list[int], i: int) -> int:
+    while least[i] != i:
+        least[i] = least[least[i]]
+        i = least[i]
+    return i
+
+
 def _link(width: int, percent: int):
-    """Rows (group, rep, digest, text) of a partition, sorted by group, to edges."""
+    """Rows (group, rep, digest, text) of a partition, sorted by group, to a star for each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -250,9 +248,14 @@ def _link(width: int, percent: int):
                         sets[rep, want] = s
             reps = sorted(sets)
             if len(reps) > 1:
+                least = list(range(len(reps)))  # of each one's component so far, by position
                 for i, j in exact_links([sets[r] for r in reps], percent):
-                    u.append(max(reps[i], reps[j])[0])
-                    v.append(min(reps[i], reps[j])[0])
+                    low, high = sorted((_top(least, i), _top(least, j)))
+                    least[high] = low
+                for i in range(len(reps)):
+                    if reps[i][0] != reps[_top(least, i)][0]:
+                        u.append(reps[i][0])
+                        v.append(reps[_top(least, i)][0])
         yield batch(u=pa.array(u, pa.int64()), v=pa.array(v, pa.int64()))
 
     return run
@@ -267,7 +270,8 @@ def _candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
     def shared(rows: DataFrame) -> DataFrame:
         return checkpointed(rows.join(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node"))
 
-    now = shared(reps.mapInArrow(_roots, "node long, rep long"))
+    roots = reps.select("rep", F.posexplode(F.slice("paths", 1, TREES)))  # tree t's root chooses coordinate t
+    now = shared(roots.select(F.xxhash64("pos", "col").alias("node"), "rep"))
     small, stars = now.where(F.col("n") <= NODE_SIZE), None
     for level in range(LEVELS + 1):
         large = now.where(F.col("n") > NODE_SIZE)
@@ -287,14 +291,16 @@ def _candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
     return connected_components(edges)
 
 
-def _exact_edges(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _exact_stars(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> tuple[DataFrame, bool]:
+    """Edges (u, v) that tie each class to its component's least, and whether they are so for all groups already."""
     groups = checkpointed(_candidate_groups(classes, percent).withColumnsRenamed({"node": "rep", "component": "group"}).join(classes.select("rep", "digest", "n_shingles"), "rep"))
     sizes = groups.groupBy("group").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     small = (F.col("members") <= GROUP_SIZE) & (F.col("shingles") <= GROUP_SHINGLES)
     named = groups.join(sizes, "group")
     tasks = named.where(small).select("rep", "digest", F.col("group").alias("task"))
     large = named.where(~small)
-    if not large.isEmpty():
+    whole = large.isEmpty()
+    if not whole:
         # k blocks, each against each: a class goes to the k tasks of its block, a task holds two blocks
         k = F.greatest(F.ceil(F.col("members") / BLOCK_SIZE), F.ceil(F.col("shingles") / (GROUP_SHINGLES // 2)), F.lit(2))
         blocks = large.select("rep", "digest", "group", k.alias("k"), F.pmod(F.xxhash64("rep"), k).alias("b"))
@@ -302,7 +308,7 @@ def _exact_edges(docs: DataFrame, classes: DataFrame, width: int, percent: int)
         tasks = tasks.unionByName(other.select("rep", "digest", F.xxhash64("group", F.least("b", "o"), F.greatest("b", "o")).alias("task")))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text"))
     rows = texts.join(tasks.hint("shuffle_hash"), "rep").select("task", "rep", "digest", "text")
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_link(width, percent), "u long, v long")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_link(width, percent), "u long, v long"), whole
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
@@ -318,7 +324,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    profile = checkpointed(rows.mapInArrow(_profile(width), "doc_id long, n_shingles long, digest binary, paths binary, sketch binary"))
+    profile = checkpointed(rows.mapInArrow(_profile(width), "doc_id long, n_shingles long, digest binary, paths array<int>, sketch binary"))
     # a class goes by its least id; an id with several texts may so be the node of several classes
     named = profile.where("n_shingles > 0 and doc_id is not null")
     classes = checkpointed(
@@ -327,7 +333,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     member = profile.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left").select("doc_id", "n_shingles", "rep")
     member = checkpointed(member.withColumn("rep", F.when(F.col("doc_id").isNotNull() & F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("rep"))))
     several = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("u", "v")  # ids with several texts
-    found = connected_components(_exact_edges(docs, classes, width, percent).unionByName(several))
+    stars, whole = _exact_stars(docs, classes, width, percent)
+    if whole and several.isEmpty():
+        found = stars.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
+    else:
+        found = connected_components(stars.unionByName(several))
     joined = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
