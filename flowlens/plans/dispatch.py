@@ -8,7 +8,7 @@ from flowlens.operators import dispatch as D
 from flowlens.sources import model as S
 
 T, R, E = S.TASKS_SQL, f"{S.TASKS_SQL}, {S.RUNS_SQL}", S.EVENTS_SQL
-NOW = S.as_of(S.TASKS_AS_OF)
+NOW = lambda: S.as_of(S.TASKS_AS_OF)
 N = f"TIMESTAMP '{S.TASKS_AS_OF}'"
 
 CAND_SQL = f"""cand AS (SELECT id, queue, state, kind, priority, fairness_key, fairness_weight, id % 9 AS worker_id, created_at + to_hours(id % 48) AS available_at,
@@ -31,22 +31,22 @@ def passes(spark, d):
 
 
 def _due(spark, d):
-    return candidates(spark, d).where(F.col("state").isin("PENDING", "SLEEPING") & (F.col("available_at") <= NOW) & (F.col("deadline_at").isNull() | (F.col("deadline_at") > NOW)))
+    return candidates(spark, d).where(F.col("state").isin("PENDING", "SLEEPING") & (F.col("available_at") <= NOW()) & (F.col("deadline_at").isNull() | (F.col("deadline_at") > NOW())))
 
 
 def _requests(spark, d):
     k = F.col("id")
-    return S.tasks(spark, d).where("state = 'PENDING'").select("queue", F.concat(F.lit("s"), (k % 4).cast("string")).alias("slot_key"), k.alias("run_id"), k.alias("ord"), (1000 + 500 * (k % 4)).alias("interval_ms"), F.timestamp_add("SECOND", (k % 7200).cast("int"), NOW).alias("available_at"))
+    return S.tasks(spark, d).where("state = 'PENDING'").select("queue", F.concat(F.lit("s"), (k % 4).cast("string")).alias("slot_key"), k.alias("run_id"), k.alias("ord"), (1000 + 500 * (k % 4)).alias("interval_ms"), F.timestamp_add("SECOND", (k % 7200).cast("int"), NOW()).alias("available_at"))
 
 
 def _cursors(spark, d):
-    return S.queues(spark, d).select("queue", F.explode(F.array(F.lit("s0"), F.lit("s1"))).alias("slot_key")).withColumn("next_slot_at", F.timestamp_add("MINUTE", (F.length("queue") * 3 - 20).cast("int"), NOW))
+    return S.queues(spark, d).select("queue", F.explode(F.array(F.lit("s0"), F.lit("s1"))).alias("slot_key")).withColumn("next_slot_at", F.timestamp_add("MINUTE", (F.length("queue") * 3 - 20).cast("int"), NOW()))
 
 
 def _failures(spark, d):
     k = F.col("task_id")
     return S.runs(spark, d).where("state = 'FAILED'").select(
-        k.alias("id"), "attempt", (k % 13 == 0).alias("non_retryable"), F.when(k % 7 == 0, "Timeout").when(k % 7 == 1, "BadInput").otherwise("Io").alias("error_type"), F.when(k % 11 == 0, F.timestamp_add("SECOND", (k % 30).cast("int"), NOW)).alias("deadline_at"),
+        k.alias("id"), "attempt", (k % 13 == 0).alias("non_retryable"), F.when(k % 7 == 0, "Timeout").when(k % 7 == 1, "BadInput").otherwise("Io").alias("error_type"), F.when(k % 11 == 0, F.timestamp_add("SECOND", (k % 30).cast("int"), NOW())).alias("deadline_at"),
         F.lit(4).alias("max_attempts"), F.when(k % 17 == 0, F.lit(90).cast("long")).alias("retry_after_s"),
     )
 
@@ -74,14 +74,14 @@ d AS (SELECT t.id, t.state, t.created_at, b.depth FROM below b JOIN tasks t USIN
 
 QUERIES = {
     "claim": (
-        lambda s, d: D.claim(candidates(s, d), passes(s, d), NOW, worker_id=3, limit=100).select("pos", "id", "queue", "priority", "pass"),
+        lambda s, d: D.claim(candidates(s, d), passes(s, d), NOW(), worker_id=3, limit=100).select("pos", "id", "queue", "priority", "pass"),
         f"""WITH {T}, {CAND_SQL}, {PASS_SQL}, {FRONT_SQL} SELECT row_number() OVER (ORDER BY priority, coalesce(pass, 0), CASE WHEN worker_id = 3 THEN 0 ELSE 1 END, available_at, id) AS pos, id, queue, priority, coalesce(pass, 0) AS pass
         FROM front LEFT JOIN passes USING (queue, fairness_key) QUALIFY pos <= 100""",
     ),
     "claim_frontier": (lambda s, d: D.frontier(_due(s, d)).select("id", "queue", "fairness_key"), f"WITH {T}, {CAND_SQL}, {FRONT_SQL} SELECT id, queue, fairness_key FROM front"),
     "fairness_pass": (_sketch_pass, None),
     "rate_limit_slots": (
-        lambda s, d: D.rate_limit_slots(_requests(s, d), _cursors(s, d), NOW),
+        lambda s, d: D.rate_limit_slots(_requests(s, d), _cursors(s, d), NOW()),
         f"""WITH {T}, q AS (SELECT queue, 's' || (id % 4) AS slot_key, id AS run_id, 1000 + 500 * (id % 4) AS interval_ms, {N} + to_seconds(id % 7200) AS available_at,
             row_number() OVER (PARTITION BY queue, id % 4 ORDER BY id) - 1 AS rank, count(*) OVER (PARTITION BY queue, id % 4) AS cnt FROM tasks WHERE state = 'PENDING'),
         c AS (SELECT n_name AS queue, s AS slot_key, {N} + to_minutes(length(n_name) * 3 - 20) AS next_slot_at FROM nation, unnest(['s0', 's1']) AS t(s)),
@@ -109,22 +109,22 @@ QUERIES = {
         f"WITH {T} SELECT parent_id, count(*) AS n, count(*) FILTER (state = 'COMPLETED') AS done, count(*) = count(*) FILTER (state = 'COMPLETED') AS all_done FROM tasks WHERE parent_id IS NOT NULL GROUP BY 1",
     ),
     "expired_leases": (
-        lambda s, d: D.expired_leases(S.runs(s, d), NOW).select("pos", "task_id", "attempt", "lease_expires_at"),
+        lambda s, d: D.expired_leases(S.runs(s, d), NOW()).select("pos", "task_id", "attempt", "lease_expires_at"),
         f"WITH {R} SELECT row_number() OVER (ORDER BY lease_expires_at, task_id, attempt) AS pos, task_id, attempt, lease_expires_at FROM runs WHERE state = 'RUNNING' AND lease_expires_at <= {N} QUALIFY pos <= 50",
     ),
     "start_timeouts": (
-        lambda s, d: D.start_timeouts(candidates(s, d), NOW).select("id"),
+        lambda s, d: D.start_timeouts(candidates(s, d), NOW()).select("id"),
         f"WITH {T}, {CAND_SQL} SELECT id FROM cand WHERE state IN ('PENDING', 'SLEEPING') AND kind = 'ACTIVITY' AND start_timeout_s IS NOT NULL AND available_at + to_seconds(start_timeout_s) <= {N}",
     ),
     "retry_decision": (
-        lambda s, d: D.retry_decision(_failures(s, d), NOW, fatal=("BadInput",)),
+        lambda s, d: D.retry_decision(_failures(s, d), NOW(), fatal=("BadInput",)),
         f"""WITH {R}, f AS (SELECT task_id AS id, attempt, task_id % 13 = 0 AS non_retryable, task_id % 7 = 1 AS fatal, CASE WHEN task_id % 11 = 0 THEN {N} + to_seconds(task_id % 30) END AS deadline_at,
             CASE WHEN task_id % 17 = 0 THEN 90 ELSE CAST(floor(least(2.0 * pow(2.0, greatest(attempt - 1, 0)), 300.0)) AS BIGINT) END AS delay FROM runs WHERE state = 'FAILED'),
         w AS (SELECT *, CASE WHEN non_retryable THEN 'NON_RETRYABLE' WHEN fatal THEN 'ERROR_TYPE' WHEN deadline_at <= {N} + to_seconds(delay) THEN 'DEADLINE' WHEN attempt >= 4 THEN 'MAX_ATTEMPTS' ELSE 'RETRY' END AS decision FROM f)
         SELECT id, attempt, decision, CASE WHEN decision = 'RETRY' THEN delay END AS delay_s, CASE WHEN decision = 'RETRY' THEN {N} + to_seconds(delay) END AS available_at FROM w""",
     ),
     "prune_tasks": (
-        lambda s, d: D.prunable_tasks(S.tasks(s, d), NOW, days=365),
+        lambda s, d: D.prunable_tasks(S.tasks(s, d), NOW(), days=365),
         f"""WITH {T}, e AS (SELECT *, CASE state WHEN 'COMPLETED' THEN completed_at WHEN 'CANCELLED' THEN cancelled_at ELSE created_at END AS ended_at FROM tasks WHERE state IN ('COMPLETED', 'FAILED', 'CANCELLED'))
         SELECT id, state, ended_at FROM e WHERE ended_at < {N} - INTERVAL 365 DAY AND NOT EXISTS (SELECT 1 FROM tasks p WHERE p.id = e.parent_id AND p.state IN ('PENDING', 'RUNNING', 'SLEEPING', 'WAITING'))""",
     ),

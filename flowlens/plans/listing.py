@@ -9,7 +9,8 @@ from flowlens.plans.metrics import _triggers
 from flowlens.sources import model as S
 
 T, R, E = S.TASKS_SQL, f"{S.TASKS_SQL}, {S.RUNS_SQL}", S.EVENTS_SQL
-NOW, EVENT_NOW = S.as_of(S.TASKS_AS_OF), S.as_of(S.EVENTS_AS_OF)
+NOW = lambda: S.as_of(S.TASKS_AS_OF)
+EVENT_NOW = lambda: S.as_of(S.EVENTS_AS_OF)
 
 WAITS_SQL = "waits AS (SELECT user_id AS id, 'ev' || (user_id % 5) AS event_name, queue, min(created_at) AS created_at FROM ev GROUP BY user_id, queue)"
 SCHEDULES_SQL = """schedules AS (SELECT s_suppkey AS id, 'q' || (s_suppkey % 7) AS queue, s_name AS name, s_suppkey % 4 <> 0 AS is_active, TIMESTAMP '2024-01-30 00:00:00' + to_minutes(s_suppkey * 37 % 2880) AS next_run_at,
@@ -80,7 +81,7 @@ QUERIES = {
         f"WITH {E} SELECT queue, name, payload, created_at FROM ev QUALIFY row_number() OVER (PARTITION BY queue, name ORDER BY created_at DESC, id DESC) = 1",
     ),
     "due_schedules": (
-        lambda s, d: L.due_schedules(schedules(s, d), EVENT_NOW).select("pos", "id", "next_run_at"),
+        lambda s, d: L.due_schedules(schedules(s, d), EVENT_NOW()).select("pos", "id", "next_run_at"),
         f"""WITH {SCHEDULES_SQL} SELECT row_number() OVER (ORDER BY next_run_at, id) AS pos, id, next_run_at FROM schedules WHERE is_active AND next_run_at <= TIMESTAMP '2024-01-31' AND (starts_at IS NULL OR starts_at <= TIMESTAMP '2024-01-31')
         AND (ends_at IS NULL OR ends_at > TIMESTAMP '2024-01-31') QUALIFY pos <= 100""",
     ),

@@ -8,7 +8,8 @@ from flowlens.operators import metrics as M
 from flowlens.sources import model as S
 
 T, R, E = S.TASKS_SQL, f"{S.TASKS_SQL}, {S.RUNS_SQL}", S.EVENTS_SQL
-NOW, EVENT_NOW = S.as_of(S.TASKS_AS_OF), S.as_of(S.EVENTS_AS_OF)
+NOW = lambda: S.as_of(S.TASKS_AS_OF)
+EVENT_NOW = lambda: S.as_of(S.EVENTS_AS_OF)
 N = f"TIMESTAMP '{S.TASKS_AS_OF}'"
 MONTH, YEAR = 24 * 30, 24 * 365
 
@@ -19,7 +20,7 @@ def _markers(spark, d):
 
 def _workers(spark, d):
     k = F.col("s_suppkey")
-    return S.table(spark, d, "supplier").select(k.alias("worker_id"), (4 + k % 5).cast("int").alias("concurrency"), F.timestamp_add("SECOND", (-(k % 90)).cast("int"), NOW).alias("updated_at"))
+    return S.table(spark, d, "supplier").select(k.alias("worker_id"), (4 + k % 5).cast("int").alias("concurrency"), F.timestamp_add("SECOND", (-(k % 90)).cast("int"), NOW()).alias("updated_at"))
 
 
 def _backfills(spark, d):
@@ -34,13 +35,13 @@ def _triggers(spark, d):
 
 QUERIES = {
     "queue_stats": (
-        lambda s, d: M.queue_stats(S.tasks(s, d), S.queues(s, d), NOW, hours=MONTH),
+        lambda s, d: M.queue_stats(S.tasks(s, d), S.queues(s, d), NOW(), hours=MONTH),
         f"""WITH {T}, {S.QUEUES_SQL} SELECT q.namespace_id, q.queue, count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state = 'RUNNING') AS running,
         count(*) FILTER (state = 'SLEEPING') AS sleeping, count(*) FILTER (state = 'WAITING') AS waiting, count(*) FILTER (state = 'FAILED' AND created_at >= {N} - INTERVAL 30 DAY) AS failed
         FROM queues q LEFT JOIN tasks t ON q.namespace_id = t.namespace_id AND q.queue = t.queue GROUP BY ALL""",
     ),
     "queue_stats_roots": (
-        lambda s, d: M.queue_stats(S.tasks(s, d), S.queues(s, d), NOW, root_only=True),
+        lambda s, d: M.queue_stats(S.tasks(s, d), S.queues(s, d), NOW(), root_only=True),
         f"""WITH {T}, {S.QUEUES_SQL} SELECT q.namespace_id, q.queue, count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state = 'RUNNING') AS running,
         count(*) FILTER (state = 'SLEEPING') AS sleeping, count(*) FILTER (state = 'WAITING') AS waiting, count(*) FILTER (state = 'FAILED' AND created_at >= {N} - INTERVAL 24 HOUR) AS failed
         FROM queues q LEFT JOIN tasks t ON q.namespace_id = t.namespace_id AND q.queue = t.queue AND parent_id IS NULL GROUP BY ALL""",
@@ -52,11 +53,11 @@ QUERIES = {
         FROM tasks WHERE parent_id IS NULL GROUP BY name, kind""",
     ),
     "definition_activity": (
-        lambda s, d: M.definition_activity(S.tasks(s, d), "1-URGENT", NOW, days=60),
+        lambda s, d: M.definition_activity(S.tasks(s, d), "1-URGENT", NOW(), days=60),
         f"WITH {T} SELECT date_trunc('day', created_at)::TIMESTAMP AS day, count(*) AS total, count(*) FILTER (state = 'FAILED') AS failed FROM tasks WHERE name = '1-URGENT' AND parent_id IS NULL AND created_at >= {N} - INTERVAL 60 DAY GROUP BY 1",
     ),
     "workers": (
-        lambda s, d: M.worker_activity(_workers(s, d), S.runs(s, d), NOW, minutes=60 * MONTH),
+        lambda s, d: M.worker_activity(_workers(s, d), S.runs(s, d), NOW(), minutes=60 * MONTH),
         f"""WITH {R}, w AS (SELECT s_suppkey AS worker_id, CAST(4 + s_suppkey % 5 AS INTEGER) AS concurrency, {N} - to_seconds(s_suppkey % 90) AS updated_at FROM supplier),
         a AS (SELECT worker_id, count(*) FILTER (state = 'RUNNING') AS running, count(*) FILTER (state = 'COMPLETED') AS completed, count(*) FILTER (state = 'FAILED') AS failed, max(lease_expires_at) AS lease
             FROM runs WHERE state = 'RUNNING' OR (state IN ('COMPLETED', 'FAILED') AND finished_at >= {N} - INTERVAL 30 DAY) GROUP BY 1)
@@ -64,12 +65,12 @@ QUERIES = {
         FROM w LEFT JOIN a USING (worker_id)""",
     ),
     "latency_percentiles": (
-        lambda s, d: M.latency_percentiles(S.runs(s, d), NOW, hours=YEAR * 3).withColumns({c: F.round(c, 3) for c in ("p50_ms", "p95_ms", "p99_ms")}),
+        lambda s, d: M.latency_percentiles(S.runs(s, d), NOW(), hours=YEAR * 3).withColumns({c: F.round(c, 3) for c in ("p50_ms", "p95_ms", "p99_ms")}),
         f"""WITH {R} SELECT name, count(*) AS n, round(quantile_cont(ms, 0.5), 3) AS p50_ms, round(quantile_cont(ms, 0.95), 3) AS p95_ms, round(quantile_cont(ms, 0.99), 3) AS p99_ms, min(ms) AS min_ms, max(ms) AS max_ms
         FROM (SELECT name, date_diff('microsecond', started_at, finished_at) / 1000.0 AS ms FROM runs WHERE state = 'COMPLETED' AND finished_at >= {N} - to_hours({YEAR * 3})) GROUP BY name ORDER BY n DESC, name LIMIT 50""",
     ),
     "latency_timeseries": (
-        lambda s, d: M.latency_timeseries(S.runs(s, d), NOW, hours=MONTH).withColumns({c: F.round(c, 3) for c in ("p50_ms", "p95_ms")}),
+        lambda s, d: M.latency_timeseries(S.runs(s, d), NOW(), hours=MONTH).withColumns({c: F.round(c, 3) for c in ("p50_ms", "p95_ms")}),
         f"""WITH {R} SELECT bucket, name, round(quantile_cont(ms, 0.5), 3) AS p50_ms, round(quantile_cont(ms, 0.95), 3) AS p95_ms, count(*) AS n
         FROM (SELECT date_trunc('hour', finished_at) AS bucket, name, date_diff('microsecond', started_at, finished_at) / 1000.0 AS ms FROM runs WHERE state = 'COMPLETED' AND finished_at >= {N} - to_hours({MONTH})) GROUP BY ALL""",
     ),
@@ -79,23 +80,23 @@ QUERIES = {
         count(*) FILTER (state = 'CANCELLED' AND cancelled_at >= TIMESTAMP '2001-05-01') AS cancelled FROM tasks""",
     ),
     "metrics_throughput": (
-        lambda s, d: M.throughput(S.tasks(s, d), NOW, hours=24 * 7),
+        lambda s, d: M.throughput(S.tasks(s, d), NOW(), hours=24 * 7),
         f"""WITH {T}, spine AS (SELECT unnest(generate_series(date_trunc('hour', {N} - INTERVAL 7 DAY), date_trunc('hour', {N}), INTERVAL 1 HOUR)) AS bucket),
         c AS (SELECT date_trunc('hour', created_at) AS bucket, count(*) AS n FROM tasks WHERE state IN ('COMPLETED', 'FAILED', 'CANCELLED') AND created_at >= {N} - INTERVAL 7 DAY AND created_at <= {N} GROUP BY 1)
         SELECT bucket, coalesce(n, 0) AS n FROM spine LEFT JOIN c USING (bucket)""",
     ),
     "metrics_throughput_days": (
-        lambda s, d: M.throughput(S.tasks(s, d), NOW, hours=24 * 90, unit="day"),
+        lambda s, d: M.throughput(S.tasks(s, d), NOW(), hours=24 * 90, unit="day"),
         f"""WITH {T}, spine AS (SELECT unnest(generate_series(date_trunc('day', {N} - INTERVAL 90 DAY), date_trunc('day', {N}), INTERVAL 1 DAY)) AS bucket),
         c AS (SELECT date_trunc('day', created_at) AS bucket, count(*) AS n FROM tasks WHERE state IN ('COMPLETED', 'FAILED', 'CANCELLED') AND created_at >= {N} - INTERVAL 90 DAY AND created_at <= {N} GROUP BY 1)
         SELECT bucket, coalesce(n, 0) AS n FROM spine LEFT JOIN (SELECT bucket::TIMESTAMP AS bucket, n FROM c) USING (bucket)""",
     ),
     "metrics_error_rate": (
-        lambda s, d: M.error_rate(S.tasks(s, d), NOW, hours=24 * 30, unit="day"),
+        lambda s, d: M.error_rate(S.tasks(s, d), NOW(), hours=24 * 30, unit="day"),
         f"WITH {T} SELECT date_trunc('day', created_at)::TIMESTAMP AS bucket, count(*) AS n FROM tasks WHERE state = 'FAILED' AND created_at >= {N} - INTERVAL 30 DAY GROUP BY 1",
     ),
     "metrics_error_share": (
-        lambda s, d: M.error_share(S.tasks(s, d), NOW, hours=24 * 5),
+        lambda s, d: M.error_share(S.tasks(s, d), NOW(), hours=24 * 5),
         f"""WITH {T}, spine AS (SELECT unnest(generate_series(date_trunc('hour', {N} - INTERVAL 5 DAY), date_trunc('hour', {N}), INTERVAL 1 HOUR)) AS bucket),
         c AS (SELECT date_trunc('hour', created_at) AS bucket, count(*) FILTER (state = 'COMPLETED') AS completed, count(*) FILTER (state = 'FAILED') AS failed FROM tasks WHERE state IN ('COMPLETED', 'FAILED') AND created_at >= {N} - INTERVAL 5 DAY AND created_at <= {N} GROUP BY 1)
         SELECT bucket, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed, failed / nullif(completed + failed, 0) AS share FROM spine LEFT JOIN c USING (bucket)""",

@@ -14,7 +14,9 @@ def ts(text):
     return F.lit(text).cast("timestamp_ntz")
 
 
-LOW, HIGH, NOW = ts("2024-01-01 00:00:00"), ts("2024-02-01 00:00:00"), ts("2024-01-20 12:30:00")
+LOW = lambda: ts("2024-01-01 00:00:00")
+HIGH = lambda: ts("2024-02-01 00:00:00")
+NOW = lambda: ts("2024-01-20 12:30:00")
 WORK = C.cron("*/20 9-17 * * 1-5")
 ODD = C.cron("30 6 1,15 * 0")
 MINUTES = "SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2026-06-01', INTERVAL 1 MINUTE)) AS m"
@@ -29,7 +31,7 @@ def times(spark, d):
 def interval_schedules(spark, d):
     k = F.col("s_suppkey")
     accuracy = F.when(k % 3 == 0, "latest").when(k % 3 == 1, "all").otherwise("last:4")
-    return S.table(spark, d, "supplier").select(k.alias("id"), F.timestamp_add("MINUTE", (k % 600).cast("int"), LOW).alias("first_at"), (3600 * (1 + k % 30)).alias("step_s"), accuracy.alias("accuracy"), F.when(k % 4 != 0, F.timestamp_add("DAY", (k % 18).cast("int"), LOW)).alias("last_slot_at"))
+    return S.table(spark, d, "supplier").select(k.alias("id"), F.timestamp_add("MINUTE", (k % 600).cast("int"), LOW()).alias("first_at"), (3600 * (1 + k % 30)).alias("step_s"), accuracy.alias("accuracy"), F.when(k % 4 != 0, F.timestamp_add("DAY", (k % 18).cast("int"), LOW())).alias("last_slot_at"))
 
 
 SLOTS_SQL = """sch AS (SELECT s_suppkey AS id, TIMESTAMP '2024-01-01' + to_minutes(s_suppkey % 600) AS first_at, 3600 * (1 + s_suppkey % 30) AS step_s, CASE s_suppkey % 3 WHEN 0 THEN 'latest' WHEN 1 THEN 'all' ELSE 'last:4' END AS accuracy,
@@ -38,12 +40,12 @@ slots AS (SELECT sch.*, k, first_at + to_seconds(k * step_s) AS slot FROM sch, u
 
 
 def slots(spark, d):
-    return C.interval_slots(interval_schedules(spark, d), HIGH)
+    return C.interval_slots(interval_schedules(spark, d), HIGH())
 
 
 def _backfills(spark, d):
     k = F.col("id")
-    return interval_schedules(spark, d).select("id", F.timestamp_add("DAY", (k % 5).cast("int"), LOW).alias("range_start"), F.timestamp_add("DAY", (k % 5 + 12).cast("int"), LOW).alias("range_end"), F.when(k % 2 == 0, F.timestamp_add("DAY", F.lit(6), LOW)).alias("cursor"), (2 + k % 5).alias("concurrency"), (k % 3).alias("active"))
+    return interval_schedules(spark, d).select("id", F.timestamp_add("DAY", (k % 5).cast("int"), LOW()).alias("range_start"), F.timestamp_add("DAY", (k % 5 + 12).cast("int"), LOW()).alias("range_end"), F.when(k % 2 == 0, F.timestamp_add("DAY", F.lit(6), LOW())).alias("cursor"), (2 + k % 5).alias("concurrency"), (k % 3).alias("active"))
 
 
 def _done(spark, d):
@@ -54,8 +56,8 @@ def _done(spark, d):
 def _runs(spark, d):
     k = F.col("id") + F.col("k")
     state = F.when(k % 5 == 0, "FAILED").when(k % 7 == 0, "RUNNING").otherwise("COMPLETED")
-    one = slots(spark, d).where((k % 11 != 0) & (F.col("slot") <= NOW)).select("id", "slot", state.alias("state"), F.timestamp_add("MINUTE", F.lit(1), F.col("slot")).alias("created_at"), F.col("k").alias("run_id"))
-    again = slots(spark, d).where((k % 10 == 0) & (F.col("slot") <= NOW)).select("id", "slot", F.lit("COMPLETED").alias("state"), F.timestamp_add("HOUR", F.lit(1), F.col("slot")).alias("created_at"), F.col("k").alias("run_id"))
+    one = slots(spark, d).where((k % 11 != 0) & (F.col("slot") <= NOW())).select("id", "slot", state.alias("state"), F.timestamp_add("MINUTE", F.lit(1), F.col("slot")).alias("created_at"), F.col("k").alias("run_id"))
+    again = slots(spark, d).where((k % 10 == 0) & (F.col("slot") <= NOW())).select("id", "slot", F.lit("COMPLETED").alias("state"), F.timestamp_add("HOUR", F.lit(1), F.col("slot")).alias("created_at"), F.col("k").alias("run_id"))
     return one.unionByName(again)
 
 
@@ -70,7 +72,7 @@ def _epochs(spark, d):
 _EPOCH = "SELECT event_id, epoch_us(ts) // 1000000 AS e FROM events"
 
 QUERIES = {
-    "cron_slots": (lambda s, d: C.cron_slots(s, WORK, LOW, HIGH), f"WITH mm AS ({MINUTES}) SELECT m AS slot FROM mm WHERE m < TIMESTAMP '2024-02-01' AND {WORK_SQL}"),
+    "cron_slots": (lambda s, d: C.cron_slots(s, WORK, LOW(), HIGH()), f"WITH mm AS ({MINUTES}) SELECT m AS slot FROM mm WHERE m < TIMESTAMP '2024-02-01' AND {WORK_SQL}"),
     "cron_matches": (
         lambda s, d: times(s, d).select("event_id", C.cron_matches(C.cron("*/3 * */2 * 2"), F.col("at")).alias("fits")),
         "SELECT event_id, minute(ts) % 3 = 0 AND (day(ts) % 2 = 1 OR dayofweek(ts) = 2) AS fits FROM events",
@@ -100,7 +102,7 @@ QUERIES = {
         _next("yearly", day=15, month=1),
         "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN TIMESTAMP '2024-01-15' ELSE TIMESTAMP '2025-01-15' END AS next FROM events",
     ),
-    "once_next": (lambda s, d: times(s, d).select("event_id", C.once_next(F.col("at"), NOW).alias("next")), "SELECT event_id, CASE WHEN TIMESTAMP '2024-01-20 12:30:00' > ts THEN TIMESTAMP '2024-01-20 12:30:00' END AS next FROM events"),
+    "once_next": (lambda s, d: times(s, d).select("event_id", C.once_next(F.col("at"), NOW()).alias("next")), "SELECT event_id, CASE WHEN TIMESTAMP '2024-01-20 12:30:00' > ts THEN TIMESTAMP '2024-01-20 12:30:00' END AS next FROM events"),
     "timetable": (
         lambda s, d: C.business_next(times(s, d), "at", s.sql("SELECT explode(array(date '2024-01-15', date '2024-01-16')) AS day")).select("event_id", "next"),
         """WITH c AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 1 DAY))::TIMESTAMP AS day), b AS (SELECT day FROM c WHERE dayofweek(day) BETWEEN 1 AND 5 AND day NOT IN (TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-16'))
@@ -117,7 +119,7 @@ QUERIES = {
     "slots": (lambda s, d: slots(s, d).select("id", "k", "slot"), f"WITH {SLOTS_SQL} SELECT id, k, slot FROM slots"),
     "count_slots": (lambda s, d: slots(s, d).groupBy("id").agg(F.count("*").alias("n")), f"WITH {SLOTS_SQL} SELECT id, count(*) AS n FROM slots GROUP BY 1"),
     "catch_up": (
-        lambda s, d: C.catch_up(slots(s, d), NOW),
+        lambda s, d: C.catch_up(slots(s, d), NOW()),
         f"""WITH {SLOTS_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY slot DESC) AS b FROM slots WHERE slot <= TIMESTAMP '2024-01-20 12:30:00' AND (last_slot_at IS NULL OR slot > last_slot_at))
         SELECT id, slot FROM m WHERE accuracy = 'all' OR b <= CASE accuracy WHEN 'latest' THEN 1 ELSE 4 END""",
     ),
@@ -127,11 +129,11 @@ QUERIES = {
             AND (id % 2 = 1 OR slot > TIMESTAMP '2024-01-07') AND k % 4 <> 1) SELECT id, slot, key FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY slot) <= 2 + id % 5 - id % 3""",
     ),
     "upcoming": (
-        lambda s, d: C.upcoming(slots(s, d), NOW).select("id", "slot", "pos"),
+        lambda s, d: C.upcoming(slots(s, d), NOW()).select("id", "slot", "pos"),
         f"WITH {SLOTS_SQL} SELECT id, slot, row_number() OVER (PARTITION BY id ORDER BY slot) AS pos FROM slots WHERE slot >= TIMESTAMP '2024-01-20 12:30:00' QUALIFY pos <= 20",
     ),
     "partition_grid": (
-        lambda s, d: C.partition_grid(slots(s, d), _runs(s, d), NOW),
+        lambda s, d: C.partition_grid(slots(s, d), _runs(s, d), NOW()),
         f"""WITH {SLOTS_SQL}, r AS (SELECT id, slot, CASE WHEN (id + k) % 10 = 0 AND slot <= TIMESTAMP '2024-01-20 12:30:00' THEN 'COMPLETED' WHEN (id + k) % 11 = 0 OR slot > TIMESTAMP '2024-01-20 12:30:00' THEN NULL WHEN (id + k) % 5 = 0 THEN 'FAILED' WHEN (id + k) % 7 = 0 THEN 'RUNNING' ELSE 'COMPLETED' END AS st FROM slots),
         g AS (SELECT id, slot, CAST(slot AS DATE) AS day, coalesce(st, CASE WHEN slot > TIMESTAMP '2024-01-20 12:30:00' THEN 'UPCOMING' ELSE 'MISSING' END) AS state FROM r)
         SELECT *, (count(*) FILTER (state = 'COMPLETED') OVER (PARTITION BY id, day)) / nullif(count(*) FILTER (state <> 'UPCOMING') OVER (PARTITION BY id, day), 0) AS complete FROM g""",

@@ -10,7 +10,7 @@ from flowlens.operators import traces as X
 from flowlens.sources import model as S
 
 T, R, E = S.TASKS_SQL, f"{S.TASKS_SQL}, {S.RUNS_SQL}", S.EVENTS_SQL
-NOW = S.as_of(S.TASKS_AS_OF)
+NOW = lambda: S.as_of(S.TASKS_AS_OF)
 N = f"TIMESTAMP '{S.TASKS_AS_OF}'"
 
 HISTORY_SQL = """h AS (SELECT task_id, attempt * 2 AS seq, CASE task_id % 4 WHEN 0 THEN 'SLEEP' WHEN 1 THEN 'WAIT' WHEN 2 THEN 'CONDITION' ELSE 'SIGNAL' END AS kind, CASE WHEN task_id % 4 = 3 THEN 'POINT' ELSE 'START' END AS phase, 'n' || (worker_id % 2) AS name, started_at AS ts FROM runs
@@ -77,7 +77,7 @@ QUERIES = {
         UNION ALL SELECT task_id, kind, seq, name, ts, ts, 'COMPLETED' FROM h WHERE kind = 'SIGNAL'""",
     ),
     "trace_tree": (
-        lambda s, d: X.trace_tree(spans(s, d), NOW),
+        lambda s, d: X.trace_tree(spans(s, d), NOW()),
         f"""WITH RECURSIVE {T}, {SPANS_SQL}, b(root_id, zero, id, depth) AS (SELECT id, queued_at, id, 0 FROM spans WHERE parent_id IS NULL UNION ALL SELECT root_id, zero, s.id, depth + 1 FROM b JOIN spans s ON s.parent_id = b.id)
         SELECT root_id, id, CAST(depth AS INTEGER) AS depth, date_diff('microsecond', zero, queued_at) / 1000.0 AS start_ms, date_diff('microsecond', queued_at, coalesce(finished_at, {N})) / 1000.0 AS duration_ms, date_diff('microsecond', queued_at, coalesce(started_at, {N})) / 1000.0 AS queued_ms FROM b JOIN spans USING (id)""",
     ),

@@ -35,11 +35,12 @@ def throughput(events: DataFrame, keys: list[str], every: str = "1 hour", late:
     return found.select(F.col("w.start").alias("bucket"), *keys, "n")
 
 
-def smoothed_rates(counts: DataFrame, key: str, seconds: float, alpha: float = 0.25, silent: int = 10) -> DataFrame:
+def smoothed_rates(counts: DataFrame, key: str, seconds: float, alpha: float = 0.25, silent: int = 10, late: str = "1 minute") -> DataFrame:
     """(key, at, rate): the smoothed rate of each key after each cycle of ``counts`` (key, at, n), cycles in order.
 
     A cycle without a row for a key counts as 0 when the next one comes. State is one
-    number and one time a key, dropped after ``silent`` cycles without a row.
+    number and one time a key, dropped once the watermark, ``late`` behind the newest row,
+    is ``silent`` cycles past the key's last one.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,12 +58,12 @@ def smoothed_rates(counts: DataFrame, key: str, seconds: float, alpha: float = 0
             rate, last = (raw if rate is None else alpha * raw + (1 - alpha) * rate), now
             out.append((k[0], at, rate))
         state.update((rate, last))
-        state.setTimeoutDuration(int(seconds * silent * 1000))
+        state.setTimeoutTimestamp(max(int((last + seconds * silent) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "at", "rate"])
 
-    rows = counts.select(key, F.col("at").cast("timestamp").alias("at"), "n")
+    rows = counts.select(key, F.col("at").cast("timestamp").alias("at"), "n").withWatermark("at", late)
     kind = counts.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at timestamp, rate double", "rate double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at timestamp, rate double", "rate double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def waking(signals: DataFrame, late: str = "10 minutes") -> DataFrame:
