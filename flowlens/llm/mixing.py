@@ -37,7 +37,8 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     """(dim, target): each value's share of all tokens, raised to ``power`` and normalised."""
     sums = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("tokens")).where("tokens > 0")
     raised = sums.select(dim, F.pow("tokens", F.lit(power)).alias("target"))
-    return raised.crossJoin(F.broadcast(raised.agg(F.sum("target").alias("all")))).select(dim, (F.col("target") / F.col("all")).alias("target"))
+    total = raised.agg(F.sum("target")).first()[0] or 1.0
+    return raised.select(dim, (F.col("target") / F.lit(float(total))).alias("target"))
 
 
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], sweeps: int = SWEEPS, error: float = ERROR) -> np.ndarray:
@@ -152,8 +153,7 @@ def mixture(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
     ``how``: see ``cell_weights``. Rows with null source or language count under
     the value '(none)'; a null or empty text has no tokens and is never drawn; a
     repeated row shares its twin's fate; a null id stays null; an empty table gives
-    an empty result. Other columns are ignored; names that begin with an underscore
-    and a name above are reserved.
+    an empty result. Other columns are ignored, whatever their names.
     """
     return _sampled(docs.select("doc_id", "text", "lang", "source"), seed, **how).select(
         F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"_{d}").alias(d) for d in DIMS], F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled")
@@ -162,4 +162,5 @@ def mixture(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
     """The rows of ``docs``, all columns, that ``mixture`` samples."""
-    return _sampled(docs, seed, **how).where("_sampled").select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # names of other columns can't clash
+    return _sampled(docs.select("doc_id", "text", "lang", "source", row), seed, **how).where("_sampled").select("_row.*")

@@ -351,9 +351,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     """
     found = checkpointed(near_duplicates(docs, width, percent).where("doc_id is not null"))
     ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"), F.max("n_shingles").alias("_words")).where("_kept")
-    named = docs.where(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id").cast("long") == F.col("_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # names of other columns can't clash
+    named = rows.where(F.col("_id").isNotNull()).join(ids, "_id")
     repeated = (F.col("_n") > 1) & (F.col("_words") > 0)
     if not ids.where(repeated).isEmpty():
-        order = Window.partitionBy("_id").orderBy(F.xxhash64(text_of()), text_of())
-        named = named.where(~repeated).unionByName(named.where(repeated).withColumn("_n", F.row_number().over(order)).where("_n = 1"))
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+        order = Window.partitionBy("_id").orderBy(F.xxhash64("_text"), "_text")
+        named = named.where(~repeated).unionByName(named.where(repeated).withColumn("_n", F.row_number().over(order).cast("long")).where("_n = 1"))
+    return named.select("_row").unionByName(rows.where(F.col("_id").isNull()).select("_row")).select("_row.*")

@@ -63,6 +63,7 @@ class Model:
     softmax: np.ndarray  # dim x 2
     bias: float
     span: int
+    constant: bool = False  # nothing was learnt: every text has the bias as its logit
 
     def word_logits(self, words: list[bytes]) -> np.ndarray:
         """What each word adds to a stretch's logit, before it is averaged."""
@@ -73,6 +74,8 @@ class Model:
         return np.add.reduceat(each, starts) / np.diff(np.append(starts, len(ids)))
 
     def text_logit(self, each: np.ndarray) -> float:
+        if self.constant:
+            return self.bias
         return self.bias + float(_pooled(_stretches(each, self.span))) if len(each) else self.bias + EMPTY
 
 
@@ -103,9 +106,9 @@ def fit(texts: list[str], toxic: list[int], weight_clean: float = 1.0, buckets:
     model = Model(rng.normal(0, 0.05, (buckets, dim)).astype(np.float32), rng.normal(0, 0.5, (dim, 2)).astype(np.float32), 0.0, span)
     kept = [i for i, r in enumerate(rows) if len(r)]
     if not known or not 0 < sum(toxic[i] for i in kept) < len(kept):
-        model.softmax[:] = 0  # nothing to tell apart
+        model.constant = True  # nothing to tell apart
         rate = sum(toxic) / max(1, len(toxic))
-        model.bias = float(np.log((rate + 1e-3) / (1 - rate + 1e-3))) - EMPTY * (rate == 0)
+        model.bias = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
         return model
     y = np.array([toxic[i] for i in kept], np.float64)
     w = np.where(y > 0, 1.0, weight_clean)
