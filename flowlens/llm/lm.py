@@ -9,8 +9,8 @@ has the most context, and windows go through the attention in batches.
 
 A word's probability is its ids', given that a word begins, times that of a word
 border after them. It is mixed with the word's share in the whole training corpus;
-those counts cover every training text. The weights of the attention model are
-fitted on a bounded sample of training texts.
+those counts cover every training text. The attention model starts from a bounded
+sample and then learns from all windows of all training texts, in Spark tasks.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import batch, checkpointed, fold, text_of
 from flowlens.llm.shingles import words_of
 
-#: Training texts that the attention model is fitted on, at most.
-TRAIN_DOCS = 1_200
+#: Training texts that the start of the attention model is fitted on, at most; the rounds after it cover all.
+START_DOCS = 1_200
+#: Rounds that the one pass over all training texts is cut into, and the rate of their Adam steps.
+ROUNDS, RATE = 2, 0.01
 #: Words whose counts are broadcast (16 bytes each); the counts of others are joined.
 TABLE_SIZE = 1_000_000
 #: Words that a worker keeps.
@@ -100,8 +102,68 @@ def _mask(place: np.ndarray) -> np.ndarray:
     return np.where(back >= 0, place[np.clip(back, 0, n - 1)], np.float32(-1e9)).astype(np.float32)
 
 
-def train(sequences: list[np.ndarray], spelling: Spelling, ranks_path: str, parts: int = 24, width: int = 8, steps: int = 400, rows: int = 256, rate: float = 0.03, seed: int = 5) -> Model:
-    """Adam on the log loss of the next id, over random windows of the sequences.
+def _scatter(ids: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and the sums of their rows."""
+    order = np.argsort(ids, kind="stable")
+    some, at = np.unique(ids[order], return_index=True)
+    return some, np.add.reduceat(grad[order], at, axis=0)
+
+
+_BACK = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
+_LOWER = np.tril(np.ones((WINDOW, WINDOW), bool))
+
+
+def gradients(rows: np.ndarray, place: np.ndarray, t: np.ndarray, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the mean log loss by ``rows`` and ``place``, and each part's share in each next id.
+
+    ``rows`` holds, for windows x WINDOW ids, query, key, value and own side by side;
+    ``t`` the parts' probabilities of the next ids; places not ``live`` count for nothing.
+    """
+    parts, f4 = t.shape[-1], np.float32
+    width = (rows.shape[-1] - 2 * parts) // 2
+    q, k, v, own = np.split(rows, (width, 2 * width, 2 * width + parts), axis=-1)
+    scale = f4(1 / np.sqrt(width))
+    a = _softmax(q @ k.transpose(0, 2, 1) * scale + _mask(place))
+    pi = _softmax(a @ v + own)
+    resp = pi * t
+    resp /= np.maximum(resp.sum(-1, keepdims=True), f4(1e-30))
+    g_u = pi - resp
+    if live is not None:
+        g_u *= live[..., None]
+        resp *= live[..., None]
+    g_u /= f4(t[..., 0].size if live is None else max(live.sum(), 1))
+    g_a = g_u @ v.transpose(0, 2, 1)
+    g_s = a * (g_a - (g_a * a).sum(-1, keepdims=True))
+    g_rows = np.concatenate((g_s @ k * scale, g_s.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ g_u, g_u), -1)
+    return g_rows, np.bincount(_BACK[_LOWER], g_s.sum(0)[_LOWER], WINDOW).astype(f4), resp
+
+
+class Adam:
+    """Moments of one parameter array; rows that a step doesn't touch rest."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.m1, self.m2, self.step = x, np.zeros_like(x), np.zeros_like(x), 0
+
+    def move(self, at, g: np.ndarray, rate: float) -> None:
+        f4 = np.float32
+        self.step += 1
+        m1 = self.m1[at] = f4(0.9) * self.m1[at] + f4(0.1) * g
+        m2 = self.m2[at] = f4(0.98) * self.m2[at] + f4(0.02) * g * g
+        self.x[at] -= f4(rate) * (m1 / f4(1 - 0.9**self.step)) / (np.sqrt(m2 / f4(1 - 0.98**self.step)) + f4(1e-8))
+
+
+@dataclass
+class Start:
+    """Where a round starts: ``rows`` (query, key, value, own of each id), ``place`` and the parts' ``table``."""
+
+    rows: np.ndarray
+    place: np.ndarray
+    table: np.ndarray
+    ranks_path: str
+
+
+def train(sequences: list[np.ndarray], spelling: Spelling, ranks_path: str, parts: int = 24, width: int = 8, steps: int = 400, rows: int = 256, rate: float = 0.03, seed: int = 5) -> Start:
+    """Adam on the log loss of the next id, over random windows of the sequences: where the rounds over all texts start.
 
     Parameters are the per-id tables of a one-layer attention model: query, key,
     value and residual rows of each subword id, a bias of each distance, and
@@ -111,70 +173,153 @@ def train(sequences: list[np.ndarray], spelling: Spelling, ranks_path: str, part
     flat = np.concatenate([np.concatenate(([spelling.end], s)) for s in sequences]) if sequences else np.array([spelling.end] * 2)
     while len(flat) < WINDOW + 2:
         flat = np.concatenate((flat, flat))
-    used, flat = np.unique(flat, return_inverse=True)  # ids that the sample has; the others share a small rest
+    used, flat = np.unique(flat, return_inverse=True)  # ids that the sample has
     size = len(used)
     count = np.bincount(flat, minlength=size) + 0.05
     f4 = np.float32
-    p = {
-        "query": rng.normal(0, 0.1, (size, width)).astype(f4),
-        "key": rng.normal(0, 0.1, (size, width)).astype(f4),
-        "value": rng.normal(0, 0.3, (size, parts)).astype(f4),
-        "own": rng.normal(0, 0.3, (size, parts)).astype(f4),
-        "place": np.zeros(WINDOW, f4),
-        "logits": (np.log(count / count.sum())[:, None] + rng.normal(0, 0.3, (size, parts))).astype(f4),
-    }
-    m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    scale = f4(1 / np.sqrt(width))
-    back = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
-    lower = np.tril(np.ones((WINDOW, WINDOW), bool))
-
-    def scatter(ids: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(ids, kind="stable")
-        some, at = np.unique(ids[order], return_index=True)
-        return some, np.add.reduceat(grad[order], at, axis=0)
-
+    own = Adam(np.concatenate([rng.normal(0, sd, (size, n)) for sd, n in ((0.1, width), (0.1, width), (0.3, parts), (0.3, parts))], 1).astype(f4))
+    place = Adam(np.zeros(WINDOW, f4))
+    logits = Adam((np.log(count / count.sum())[:, None] + rng.normal(0, 0.3, (size, parts))).astype(f4))
     for step in range(1, steps + 1):
         begin = rng.integers(0, len(flat) - WINDOW, rows)
         x = flat[begin[:, None] + np.arange(WINDOW)]
         y = flat[begin[:, None] + np.arange(1, WINDOW + 1)]
-        q, k, v = p["query"][x], p["key"][x], p["value"][x]
-        a = _softmax(q @ k.transpose(0, 2, 1) * scale + _mask(p["place"]))
-        pi = _softmax(a @ v + p["own"][x])
-        table = _softmax(p["logits"], 0)
-        t = table[y]
-        joint = pi * t
-        prob = joint.sum(-1, keepdims=True)
-        resp = joint / np.maximum(prob, f4(1e-30))
+        table = _softmax(logits.x, 0)
+        g_rows, g_place, resp = gradients(own.x[x], place.x, table[y])
         n = f4(x.size)
-        g_u = (pi - resp) / n
-        grads: dict[str, object] = {}
-        some, g = scatter(y.ravel(), resp.reshape(-1, parts) / n)
+        some, g = _scatter(y.ravel(), resp.reshape(-1, parts) / n)
         g_logits = table * (resp.reshape(-1, parts).sum(0) / n)
         g_logits[some] -= g
-        g_logits += f4(1e-9) * (p["logits"] - p["logits"].mean(1, keepdims=True))
-        g_a = g_u @ v.transpose(0, 2, 1)
-        g_s = a * (g_a - (g_a * a).sum(-1, keepdims=True))
-        grads["logits"] = (None, g_logits)
-        grads["own"] = scatter(x.ravel(), g_u.reshape(-1, parts))
-        grads["value"] = scatter(x.ravel(), (a.transpose(0, 2, 1) @ g_u).reshape(-1, parts))
-        grads["query"] = scatter(x.ravel(), (g_s @ k * scale).reshape(-1, width))
-        grads["key"] = scatter(x.ravel(), (g_s.transpose(0, 2, 1) @ q * scale).reshape(-1, width))
-        grads["place"] = (None, np.bincount(back[lower], g_s.sum(0)[lower], WINDOW).astype(f4))
-        now = f4(rate * min(1.0, 2.2 * (1 - step / (steps + 1)) + 0.05))
-        for name, (ids, g) in grads.items():
-            at = slice(None) if ids is None else ids  # rows that a batch doesn't touch rest
-            m1[name][at] = f4(0.9) * m1[name][at] + f4(0.1) * g
-            m2[name][at] = f4(0.98) * m2[name][at] + f4(0.02) * g * g
-            p[name][at] -= now * (m1[name][at] / f4(1 - 0.9**step)) / (np.sqrt(m2[name][at] / f4(1 - 0.98**step)) + f4(1e-8))
-    def spread(x: np.ndarray, fill: float) -> np.ndarray:
-        out = np.full((spelling.size, x.shape[1]), fill, f4)
-        out[used] = x
-        return out
-
-    table = spread((1 - REST) * _softmax(p["logits"], 0), 0.0) + f4(REST / spelling.size)
-    value = np.concatenate((spread(p["value"], 0.0), np.ones((spelling.size, 1), f4)), 1)
-    sums = np.stack((np.ones(parts, f4), table[spelling.initial].sum(0)), 1)
-    return Model(np.clip(spread(p["query"], 0.0) * scale, -8, 8), np.clip(spread(p["key"], 0.0), -8, 8), value, spread(p["own"], 0.0), p["place"], table, sums, ranks_path)
+        g_logits += f4(1e-9) * (logits.x - logits.x.mean(1, keepdims=True))
+        now = rate * min(1.0, 2.2 * (1 - step / (steps + 1)) + 0.05)
+        logits.move(slice(None), g_logits, now)
+        own.move(*_scatter(x.ravel(), g_rows.reshape(-1, g_rows.shape[-1])), now)
+        place.move(slice(None), g_place, now)
+    all_rows, table = np.zeros((spelling.size, own.x.shape[1]), f4), np.zeros((spelling.size, parts), f4)
+    all_rows[used], table[used] = own.x, _softmax(logits.x, 0)
+    return Start(all_rows, place.x, _with_rest(table), ranks_path)
+
+
+def _with_rest(table: np.ndarray) -> np.ndarray:
+    return ((1 - REST) * table + REST / len(table)).astype(np.float32)
+
+
+def _round(start, rate: float, batch_rows: int = 256):
+    """One task's part of a round: Adam over all windows of its texts, from the common start.
+
+    Rows (id, n, sums): ``sums`` holds the id's change by this task times its ``n``
+    uses as context, then the parts' shares in its uses as next id. Id -1 holds the
+    change of ``place`` times the number of ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s: Start = pickle.loads(start.value)
+        spelling = Spelling(s.ranks_path)
+        own, place, parts = Adam(s.rows.copy()), Adam(s.place.copy()), s.table.shape[1]
+        uses, shares = np.zeros(len(s.table), np.int64), np.zeros(s.table.shape)
+        cache: dict[bytes, list[int]] = {}
+        flat, need = [spelling.end], batch_rows * WINDOW
+
+        def learn(ids: np.ndarray, n: int) -> None:
+            """A step over the first ``n`` ids after the first; the rest is padding."""
+            x, y = ids[:-1].reshape(-1, WINDOW), ids[1:].reshape(-1, WINDOW)
+            live = None if n == x.size else (np.arange(x.size) < n).reshape(x.shape)
+            g_rows, g_place, resp = gradients(own.x[x], place.x, s.table[y], live)
+            some, g = _scatter(x.ravel(), g_rows.reshape(-1, g_rows.shape[-1]))
+            own.move(some, g, rate)
+            place.move(slice(None), g_place, rate)
+            some, g = _scatter(y.ravel(), resp.reshape(-1, parts))
+            shares[some] += g
+            np.add(uses, np.bincount(x.ravel()[:n], minlength=len(uses)), out=uses)
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for w in (*words_of(text), END_WORD):
+                    ids = cache.get(w)
+                    if ids is None:
+                        if len(cache) >= CACHE_SIZE:
+                            cache.clear()
+                        ids = cache[w] = spelling.ids(w)
+                    flat += ids
+                if len(flat) > need:
+                    ids, at = np.array(flat, np.int64), 0
+                    while at + need < len(ids):
+                        learn(ids[at : at + need + 1], need)
+                        at += need
+                    flat = ids[at:].tolist()
+        n = len(flat) - 1
+        if n:
+            learn(np.array(flat + [spelling.end] * (-n % WINDOW), np.int64), n)
+        total = int(uses.sum())
+        if not total:
+            return
+        ids = np.flatnonzero((uses > 0) | (shares.sum(1) > 0))
+        sums = np.concatenate(((own.x[ids] - s.rows[ids]) * uses[ids, None], shares[ids]), 1).astype(np.float32)
+        first = np.zeros((1, sums.shape[1]), np.float32)
+        first[0, :WINDOW] = (place.x - s.place) * total
+        yield from _packed(np.append(-1, ids), np.append(total, uses[ids]), np.concatenate((first, sums)))
+
+    return run
+
+
+def _packed(ids: np.ndarray, n: np.ndarray, sums: np.ndarray, most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(ids), most):
+        part = np.ascontiguousarray(sums[at : at + most])
+        cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(part.shape[1] * 4), len(part), [None, pa.py_buffer(part)])
+        yield batch(id=pa.array(ids[at : at + most], pa.int64()), n=pa.array(n[at : at + most], pa.int64()), sums=cells.cast(pa.binary()))
+
+
+def _unpacked(column) -> np.ndarray:
+    cells = column.to_pylist()
+    return np.frombuffer(b"".join(cells), np.float32).reshape(len(cells), -1)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row an id; a task holds the sums of its own ids."""
+    at: dict[int, int] = {}
+    n, sums = np.zeros(0, np.int64), None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        got, cells = b.column(0).to_numpy(), _unpacked(b.column(2))
+        where = np.fromiter((at.setdefault(i, len(at)) for i in got.tolist()), np.int64, len(got))
+        more = len(at) - len(n)
+        sums = np.zeros((0, cells.shape[1])) if sums is None else sums
+        n, sums = np.append(n, np.zeros(more, np.int64)), np.concatenate((sums, np.zeros((more, cells.shape[1]))))
+        np.add.at(n, where, b.column(1).to_numpy())
+        np.add.at(sums, where, cells)
+    if at:
+        yield from _packed(np.fromiter(at, np.int64, len(at)), n, sums.astype(np.float32))
+
+
+def improved(start: Start, texts: DataFrame, shares: np.ndarray, rate: float) -> Start:
+    """``start`` after a round over all ``texts``; ``shares`` (ids x parts) gains what the parts had in them.
+
+    An id's rows move by the tasks' changes, weighted by its uses in each; the table is
+    the parts' shares in all texts of this round and those before.
+    """
+    spark = texts.sparkSession
+    model = spark.sparkContext.broadcast(pickle.dumps(start))
+    schema = "id long, n long, sums binary"
+    found = texts.mapInArrow(_round(model, rate), schema).repartition(F.col("id")).mapInArrow(_added, schema).toArrow()  # a row an id
+    if not found.num_rows:
+        return start
+    ids, n, sums = found.column("id").to_numpy(), found.column("n").to_numpy(), _unpacked(found.column("sums"))
+    rows, wide = start.rows.copy(), start.rows.shape[1]
+    some = ids >= 0
+    rows[ids[some]] += sums[some, :wide] / np.maximum(n[some, None], 1)
+    place = start.place + sums[~some][0, :WINDOW] / n[~some][0]
+    shares[ids[some]] += sums[some, wide:]
+    return Start(rows, place.astype(np.float32), _with_rest(shares / np.maximum(shares.sum(0), 1e-30)), start.ranks_path)
+
+
+def finished(s: Start, spelling: Spelling) -> Model:
+    parts = s.table.shape[1]
+    width = (s.rows.shape[1] - 2 * parts) // 2
+    query, key, value, own = np.split(s.rows, (width, 2 * width, 2 * width + parts), axis=1)
+    value = np.concatenate((value, np.ones((len(value), 1), np.float32)), 1)
+    sums = np.stack((np.ones(parts, np.float32), s.table[spelling.initial].sum(0)), 1)
+    return Model(np.clip(query * np.float32(1 / np.sqrt(width)), -8, 8), np.clip(key, -8, 8), value, np.ascontiguousarray(own), s.place, s.table, sums, s.ranks_path)
 
 
 def score_ids(model: Model, ids: np.ndarray, docs: np.ndarray, end: int, rows: int = 128) -> tuple[np.ndarray, np.ndarray]:
@@ -369,10 +514,14 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, ranks_path: str, folds: int = 7, out: int = 2) -> Model:
-    """The attention model, from the TRAIN_DOCS training texts whose ids hash lowest."""
+    """The attention model: a start from the START_DOCS training texts whose ids hash lowest, then one pass over all of them.
+
+    The pass has ROUNDS rounds, each over the texts of other ids: tasks take Adam steps
+    over all windows of their texts, and their changes are averaged by id.
+    """
     rows = docs.where(fold("doc_id", folds) != out).select("doc_id", text_of().alias("text"))
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(TRAIN_DOCS)
-    sample = rows.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(TRAIN_DOCS).collect()
+    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(START_DOCS)
+    sample = rows.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(START_DOCS).collect()
     spelling = Spelling(ranks_path)
     cache: dict[bytes, list[int]] = {}
     sequences = []
@@ -383,7 +532,11 @@ def fit(docs: DataFrame, ranks_path: str, folds: int = 7, out: int = 2) -> Model
                 cache[w] = spelling.ids(w)
             ids += cache[w]
         sequences.append(np.array(ids, np.int64))
-    return train(sequences, spelling, ranks_path)
+    now = train(sequences, spelling, ranks_path)
+    shares = np.zeros(now.table.shape)
+    for k in range(ROUNDS):
+        now = improved(now, rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("text"), shares, RATE / (k + 1))
+    return finished(now, spelling)
 
 
 def score_texts(docs: DataFrame, folds: int = 7, out: int = 2, share: float = SHARE, table_size: int = TABLE_SIZE, ranks_path: str | None = None) -> DataFrame:
