@@ -17,9 +17,15 @@ from flowlens.operators.sketches import sketch_bin
 from flowlens.operators.traces import _contains, _parsed
 
 
-def read_events(spark, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream; ``ts`` becomes a TIMESTAMP, which watermarks need."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def read_events(spark, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream; ``ts`` becomes a TIMESTAMP, which watermarks need.
+
+    All files that are there go into one batch, so that the watermark of one drops no row of
+    another; ``files_per_trigger`` is for files that are in order of time.
+    """
+    reader = spark.readStream.schema(schema)
+    reader = reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def timing_buffer(events: DataFrame, keys: list[str], value: str, every: str = "5 seconds", late: str = "1 minute") -> DataFrame:
