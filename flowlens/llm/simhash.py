@@ -61,7 +61,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _following(rows: DataFrame) -> DataFrame:
-    """(doc_id, _t, next_id, next_t) of distinct (doc_id, _t): the next one in descending order, after the last the first.
+    """``rows`` (distinct doc_id and _t, and others) with next_id, next_t: the next in descending order, after the last the first.
 
     Range partitions keep the order; what follows a partition's last row is looked
     up among the partitions' first ones, a table of one row for each partition.
@@ -76,7 +76,20 @@ def _following(rows: DataFrame) -> DataFrame:
     heads = heads.select("_p", F.coalesce(F.lead("first").over(over), top).alias("then"))
     inside = F.lead(F.struct("doc_id", "_t")).over(Window.partitionBy("_p").orderBy(*down))
     found = placed.withColumn("_n", inside).join(F.broadcast(heads), "_p").withColumn("_n", F.coalesce("_n", "then"))
-    return found.select("doc_id", "_t", F.col("_n.doc_id").alias("next_id"), F.col("_n._t").alias("next_t"), "n_chars")
+    return found.select(*rows.columns, F.col("_n.doc_id").alias("next_id"), F.col("_n._t").alias("next_t"))
+
+
+def _both_prints(rows: DataFrame, head: Column) -> DataFrame:
+    """Fingerprints of the texts of ``rows`` (doc_id, _t, text) and of the same with ``head`` for the last third."""
+    n = F.length("text")
+    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), head)
+    wide = rows.withColumn("edited", edited).select("doc_id", "_t", "text", "edited", F.unhex(F.sha2("edited", 256)).alias("_sha"))
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))
+    both = wide.select("doc_id", "_t", "_sha", F.explode(kinds).alias("s")).select("doc_id", "_t", "_sha", "s.kind", "s.text")
+    found = votes(both, ["doc_id", "_t", "_sha", "kind"])
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fingerprint")))
+    pairs = found.groupBy("doc_id", "_t", "_sha").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
+    return pairs.select("doc_id", "_t", F.lower(F.hex("_sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -84,28 +97,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has the last third of the code points replaced by as many (or
     all) first ones of the next document in descending order of doc_id, then text hash;
-    after the last comes the first. Columns: doc_id, _t (the text's hash), next_id,
-    next_t, n_chars, edited_sha256, fingerprint, edited_fingerprint.
+    after the last comes the first. Columns: doc_id, _t (the text's hash), copies,
+    n_chars, next_id, next_t, edited_sha256, fingerprint, edited_fingerprint.
 
-    Rows that repeat both id and text are one document. A null text is empty. A row
-    without an id has no next document: its last third is replaced by nothing.
+    Rows that repeat both id and text are one row here; ``copies`` counts them. A null
+    text is empty. A row without an id has no next document: its last third is
+    replaced by nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("_t", F.xxhash64("text"))
-    order = checkpointed(_following(rows.where("doc_id is not null").select("doc_id", "_t", F.length("text").cast("long").alias("n_chars")).distinct()))
+    slim = rows.select("doc_id", "_t", F.length("text").cast("long").alias("n_chars")).groupBy("doc_id", "_t", "n_chars").agg(F.count("*").alias("copies"))
+    known = F.col("doc_id").isNotNull()
+    order = checkpointed(_following(slim.where(known)))
+    # both joins below read the texts over one exchange: the same rows, columns, keys
+    named = rows.where(known)
+    if not order.where("copies > 1").isEmpty():
+        named = named.groupBy("doc_id", "_t").agg(F.first("text").alias("text"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     wanted = order.select(F.col("next_id").alias("doc_id"), F.col("next_t").alias("_t"), third.alias("_k"), F.col("doc_id").alias("_for_id"), F.col("_t").alias("_for_t"))
-    heads = rows.join(wanted.hint("shuffle_hash"), ["doc_id", "_t"]).select(F.col("_for_id").alias("doc_id"), F.col("_for_t").alias("_t"), F.substring("text", F.lit(1), F.col("_k")).alias("head"))
-    if not rows.groupBy("doc_id", "_t").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        heads = heads.dropDuplicates(["doc_id", "_t"])
-    n = F.length("text")
-    k = F.floor(n / 3).cast("int")
-    both = rows.join(heads, ["doc_id", "_t"], "left").withColumn("edited", F.concat(F.substring("text", F.lit(1), n - k), F.coalesce("head", F.lit(""))))
-    both = both.select(F.col("doc_id"), "_t", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("_sha"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("s"))
-    found = votes(both.select("doc_id", "_t", "n_chars", "_sha", F.col("s.kind").alias("kind"), F.col("s.text").alias("text")), ["doc_id", "_t", "n_chars", "_sha", "kind"])
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fingerprint")))
-    pairs = found.groupBy("doc_id", "_t", "n_chars", "_sha").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
-    joined = pairs.join(order.drop("n_chars"), ["doc_id", "_t"], "left")
-    return joined.select("doc_id", "_t", "next_id", "next_t", "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
+    heads = named.join(wanted.hint("shuffle_hash"), ["doc_id", "_t"])
+    heads = heads.select(F.col("_for_id").alias("doc_id"), F.col("_for_t").alias("_t"), F.substring("text", F.lit(1), F.col("_k")).alias("head"))
+    found = _both_prints(named.join(heads.hint("merge"), ["doc_id", "_t"]), F.col("head"))
+    found = found.join(order.hint("merge"), ["doc_id", "_t"])
+    columns = ["doc_id", "_t", "copies", "n_chars", "next_id", "next_t", "edited_sha256", "fingerprint", "edited_fingerprint"]
+    nameless = rows.where(~known)
+    if nameless.isEmpty():
+        return found.select(*columns)
+    alone = nameless.groupBy("_t").agg(F.first("text").alias("text"), F.count("*").alias("copies")).withColumn("doc_id", F.lit(None).cast("long"))
+    sizes = alone.select("_t", "copies", F.length("text").cast("long").alias("n_chars"))
+    none = F.lit(None).cast("long")
+    alone = _both_prints(alone, F.lit("")).join(sizes.hint("merge"), "_t").withColumns({"next_id": none, "next_t": none})
+    return found.select(*columns).unionByName(alone.select(*columns))
 
 
 def _masks(blocks: int, radius: int) -> list[int]:
@@ -129,29 +150,48 @@ def within(queries: DataFrame, all_: DataFrame, radius: int = RADIUS, blocks: in
         table = distinct.select(name, F.posexplode(masks).alias("_table", "_mask"))
         return table.select(name, "_table", F.col(name).bitwiseAND(F.col("_mask")).alias("_key"))
 
-    met = keyed(queries, "query").join(keyed(all_, "fingerprint"), ["_table", "_key"])
+    met = keyed(queries, "query").hint("shuffle_hash").join(keyed(all_, "fingerprint"), ["_table", "_key"])  # both sides grow
     return met.where(F.bit_count(F.col("query").bitwiseXOR(F.col("fingerprint"))) <= radius).select("query", "fingerprint").distinct()
 
 
-def similar_texts(docs: DataFrame, radius: int = RADIUS, one_in: int = 50) -> DataFrame:
+def near_classes(found: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, n, classes) of the distinct fingerprints of ``found`` where ``asked``.
+
+    A class is all rows of one fingerprint and goes by its least doc_id. ``n`` counts the
+    rows of the classes within ``radius`` bits, the own one included, and ``classes``
+    lists them: at most as many as there are values within the radius (43,745 for 3).
+    """
+    classes = found.where("doc_id is not null").groupBy("fingerprint").agg(F.sum("copies").alias("_n"), F.min("doc_id").alias("_class"))
+    met = within(found.where(asked), classes, radius).join(classes.hint("merge"), "fingerprint")
+    return met.groupBy(F.col("query").alias("fingerprint")).agg(F.sum("_n").alias("n"), F.sort_array(F.collect_list("_class")).alias("classes"))
+
+
+def similar_texts(docs: DataFrame, radius: int = RADIUS, one_in: int = 50, salts: int = 16) -> DataFrame:
     """Fingerprints, likenesses and, for ids divisible by ``one_in``, near documents.
 
     doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (16 hex
     digits), near_edited and near_next (share of equal bits with the edited text's
-    fingerprint and with the next document's), and n_near: how many other documents
-    have a fingerprint within ``radius`` bits, null for the ids not asked for.
-
-    See ``fingerprints`` for repeated rows, nulls and the order of documents. Texts
-    without words have the fingerprint 0; a row without an id has no near_next; an
-    empty table gives an empty result; other columns are ignored.
+    fingerprint and with the next document's), n_near: how many other documents have
+    a fingerprint within ``radius`` bits, and near_classes: the least ids of the
+    fingerprints within it, the own one's included, whose members are the rows that
+    carry that fingerprint. Both are null for the ids not asked for.
+
+    See ``fingerprints`` for nulls and the order of documents. Repeated rows give
+    repeated rows. Texts without words have the fingerprint 0; a row without an id
+    has no near_next and is near nothing; an empty table gives an empty result;
+    other columns are ignored.
     """
     found = checkpointed(fingerprints(docs))
     after = found.select(F.col("doc_id").alias("next_id"), F.col("_t").alias("next_t"), F.col("fingerprint").alias("_next"))
-    asked = F.col("doc_id") % one_in == 0
-    many = found.where("doc_id is not null").groupBy("fingerprint").agg(F.count("*").alias("_n"))
-    near = within(found.where(asked), many, radius).join(many, "fingerprint").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("_n").alias("_near"))
-    joined = found.join(after, ["next_id", "next_t"], "left").join(near, "fingerprint", "left")
+    asked = F.coalesce(F.col("doc_id") % one_in == 0, F.lit(False))
+    # a fingerprint may be that of a third of all rows: the classes are met on salted keys
+    near = near_classes(found, asked, radius).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = F.xxhash64("doc_id", "_t")
+    found = found.withColumn("_salt", F.when(asked, F.pmod(spread, F.lit(salts))).otherwise(-1 - F.pmod(spread, F.lit(1 << 20))).cast("int"))
+    joined = found.join(after.hint("merge"), ["next_id", "next_t"], "left").join(near.hint("merge"), ["fingerprint", "_salt"], "left")
+    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", as_hex("fingerprint").alias("fingerprint"), as_hex("edited_fingerprint").alias("edited_fingerprint"),
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "_next").alias("near_next"), F.when(asked, F.col("_near") - 1).alias("n_near"),
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "_next").alias("near_next"),
+        (F.col("n") - 1).alias("n_near"), F.col("classes").alias("near_classes"),
     )
