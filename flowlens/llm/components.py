@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import checkpointed
+from flowlens.llm.common import checkpointed, join_heavy
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n"))
+    tied = join_heavy(both.where("v > u"), least, "u", "n", "inner")
+    return tied.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its lower neighbours are tied to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    tied = join_heavy(down, least, "u", "n", "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -28,11 +29,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Edges are taken in both directions; repeated ones, loops and nulls do no
     harm. Each round halves the longest paths at least, and is cut off from its
-    lineage by a checkpoint.
+    lineage by a checkpoint. A hub's edges are joined where they lie (``join_heavy``).
     """
-    now = edges.where("u <> v").select("u", "v")
+    now = checkpointed(edges.where("u <> v").select("u", "v").distinct())
     for _ in range(most_rounds):
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(checkpointed(_large_star(now).distinct())))
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up")))
         # stars all: no node is both a centre and tied, or tied twice
         if ends.groupBy("node").agg(F.sum("up").alias("n"), F.min("up").alias("least"), F.max("up").alias("most")).where("n > 1 or least <> most").isEmpty():

@@ -10,8 +10,9 @@
    the last level shares so many tokens that all of it is a candidate group.
 3. What the sketches hold for possible links only forms candidate groups (connected
    components). Within each, links are decided exactly on the full shingle sets,
-   and each class travels to its one group once. Groups too large for one task are
-   linked block against block.
+   and each class travels to its one group once. In a group too large for one task,
+   a few classes are first held against all; only what they leave outside the
+   group's largest component is then held against the whole group.
 
 No pair is ever written out: nodes and groups give the edges of a spanning forest,
 fewer than they have members.
@@ -28,26 +29,43 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import batch, checkpointed, text_of
+from flowlens.llm.common import batch, checkpointed, join_heavy, text_of
 from flowlens.llm.components import connected_components
 from flowlens.llm.shingles import WordHashes, mix64, words_of
 
 #: Coordinates of a signature that choose paths, and those that make the sketch.
 PATHS, SKETCH = 32, 96
-#: Independent trees. A pair of similarity s shares a node below some root but for (1 - s) ** TREES of cases.
-TREES = 24
+#: Share of the linked pairs that share a last node of some tree, at the threshold and the last level.
+RECALL = 0.995
 #: Classes in a node that is compared exhaustively, at most; levels of branching below the root.
 NODE_SIZE, LEVELS = 4096, 6
 #: Standard errors by which a sketch may fall short of the threshold.
 SLACK = 4.0
-#: Classes and shingles of a group that one task links, at most; beyond, classes in a block.
-GROUP_SIZE, GROUP_SHINGLES, BLOCK_SIZE = 8192, 4_000_000, 2048
+#: Classes and shingles of a group that one task links, at most; beyond, classes in a block, and those held against all first.
+GROUP_SIZE, GROUP_SHINGLES, BLOCK_SIZE, PIVOTS = 8192, 4_000_000, 2048, 32
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _A = (mix64(np.arange(1, PATHS + SKETCH + 1, dtype=np.uint64) * _MUL) | np.uint64(1)).astype(np.uint32)
 _B = mix64(np.arange(1001, PATHS + SKETCH + 1001, dtype=np.uint64) * _MUL).astype(np.uint32)
 
 
+def trees(percent: int, recall: float = RECALL) -> int:
+    """Independent trees that a pair at the threshold needs to meet in the last level of some with probability ``recall``.
+
+    At a root, a pair of similarity s stays together with probability s. Below, a
+    node chooses each coordinate with probability 1 / (s * PATHS): the nodes that hold
+    both are a branching process with one child in the mean, so of the pairs together
+    at one level 1 - exp(-q) keep a line to the last, q being the next level's share.
+    """
+    s, q = percent / 100, 1.0
+    for _ in range(LEVELS):
+        q = 1 - np.exp(-q)
+    need = int(np.ceil(np.log(1 - recall) / np.log(1 - s * q)))
+    if need > PATHS:
+        raise ValueError(f"a recall of {recall} at {percent} % needs {need} trees; a signature has {PATHS} roots")
+    return need
+
+
 def shingle_sets(texts: list[str | None], hashes: WordHashes, width: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, hashed together (see ``shingles.shingle_set``)."""
     words = [words_of(t) for t in texts]
@@ -195,8 +213,11 @@ def _compare(least: int):
     return run
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the sets with 100 * intersection >= percent * union."""
+def exact_links(sets: list[np.ndarray], percent: int, firsts: int | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the sets with 100 * intersection >= percent * union.
+
+    With ``firsts``, only links of the first so many sets with any are sought.
+    """
     n, sizes = len(sets), np.array([len(s) for s in sets])
     if n == 2:
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
@@ -208,7 +229,7 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     holders, count = owner[order], np.bincount(token)
     first, begin = np.concatenate(([0], np.cumsum(count)[:-1])), np.concatenate(([0], np.cumsum(sizes)))
     label, edges, parts = np.arange(n), [], n
-    for i in range(n):
+    for i in range(n if firsts is None else firsts):
         mine = token[begin[i] : begin[i + 1]]
         mine = mine[count[mine] > 1]
         if not len(mine) or parts == 1:
@@ -234,28 +255,38 @@ def _top(least: list[int], i: int) -> int:
 
 
 def _link(width: int, percent: int):
-    """Rows (group, rep, digest, text) of a partition, sorted by group, to a star for each component."""
+    """Rows (task, rep, digest, first, text) of a partition, sorted by task, to a star for each component.
+
+    Where a task has rows that are ``first``, only their links are sought, with any row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         u, v = [], []
         for parts in _groups_of(batches):
             sets: dict[tuple[int, bytes], np.ndarray] = {}
+            first: set[tuple[int, bytes]] = set()
             for p in parts:
-                ids, texts = p.column(1).to_pylist(), p.column(3).to_pylist()
-                for rep, want, s in zip(ids, p.column(2).to_pylist(), shingle_sets(texts, hashes, width)):
+                ids, digests, texts = p.column(1).to_pylist(), p.column(2).to_pylist(), p.column(4).to_pylist()
+                for rep, want, f, s in zip(ids, digests, p.column(3).to_pylist(), shingle_sets(texts, hashes, width)):
+                    if f:
+                        first.add((rep, want))
                     if (rep, want) not in sets and xxhash.xxh3_128_digest(s.tobytes()) == want:  # the id may have other texts
                         sets[rep, want] = s
-            reps = sorted(sets)
+            reps = sorted(sets, key=lambda r: (r not in first, r))
             if len(reps) > 1:
-                least = list(range(len(reps)))  # of each one's component so far, by position
-                for i, j in exact_links([sets[r] for r in reps], percent):
-                    low, high = sorted((_top(least, i), _top(least, j)))
-                    least[high] = low
-                for i in range(len(reps)):
-                    if reps[i][0] != reps[_top(least, i)][0]:
-                        u.append(reps[i][0])
-                        v.append(reps[_top(least, i)][0])
+                top = list(range(len(reps)))  # of each one's component so far, by position
+                for i, j in exact_links([sets[r] for r in reps], percent, len(first) or None):
+                    low, high = sorted((_top(top, i), _top(top, j)))
+                    top[high] = low
+                least: dict[int, int] = {}
+                for i, (rep, _) in enumerate(reps):
+                    k = _top(top, i)
+                    least[k] = min(rep, least.get(k, rep))
+                for i, (rep, _) in enumerate(reps):
+                    if rep != least[_top(top, i)]:
+                        u.append(rep)
+                        v.append(least[_top(top, i)])
         yield batch(u=pa.array(u, pa.int64()), v=pa.array(v, pa.int64()))
 
     return run
@@ -270,7 +301,7 @@ def _candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
     def shared(rows: DataFrame) -> DataFrame:
         return checkpointed(rows.join(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node"))
 
-    roots = reps.select("rep", F.posexplode(F.slice("paths", 1, TREES)))  # tree t's root chooses coordinate t
+    roots = reps.select("rep", F.posexplode(F.slice("paths", 1, trees(percent))))  # tree t's root chooses coordinate t
     now = shared(roots.select(F.xxhash64("pos", "col").alias("node"), "rep"))
     small, stars = now.where(F.col("n") <= NODE_SIZE), None
     for level in range(LEVELS + 1):
@@ -291,24 +322,68 @@ def _candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
     return connected_components(edges)
 
 
+def _linked(docs: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (u, v) that tie the classes of each task (rep, digest, task, first) to their component's least."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text"))
+    rows = texts.join(tasks.hint("shuffle_hash"), "rep").select("task", "rep", "digest", "first", "text")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_link(width, percent), "u long, v long")
+
+
+def _against_all(docs: DataFrame, large: DataFrame, some: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges of the links that the classes ``some`` have in their groups.
+
+    A class of ``large`` (rep, digest, group, k, b) lies in block b of its group's k; each block meets
+    each chunk of ``some`` (rep, digest, group, k, chunk) in one task. The groups are few: each
+    has more than GROUP_SIZE classes or GROUP_SHINGLES shingles.
+    """
+    met = some.select("group", "chunk").distinct()
+    blocks = large.join(F.broadcast(met), "group").select("rep", "digest", "group", "b", "chunk", F.lit(False).alias("first"))
+    firsts = some.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("rep", "digest", "group", "b", "chunk", F.lit(True).alias("first"))
+    tasks = blocks.unionByName(firsts).groupBy("rep", "digest", F.xxhash64("group", "b", "chunk").alias("task")).agg(F.max("first").alias("first"))
+    return _linked(docs, tasks, width, percent)
+
+
+def _large_links(docs: DataFrame, large: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges of all links in groups too large for one task (rep, digest, n_shingles, group, members, shingles).
+
+    PIVOTS classes are held against all of their group. Two classes that are not yet
+    in one component can't both be in the largest, so what is left is to hold those
+    outside it against all: exact, and as much work as the group is unlike.
+    """
+    k = F.greatest(F.ceil(F.col("members") / BLOCK_SIZE), F.ceil(F.col("shingles") / (GROUP_SHINGLES // 2)), F.lit(2))
+    large = checkpointed(large.withColumn("k", k.cast("long")).withColumn("b", F.pmod(F.xxhash64("rep", "digest"), F.col("k"))))
+    order = F.struct(F.xxhash64("rep", F.lit(7)).alias("h"), "rep", "digest")
+    # the least hashes, found by a share of the members that shrinks with the group, then by number in it
+    few = large.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("members")) < 4 * PIVOTS)
+    pivots = few.groupBy("group", "k").agg(F.slice(F.sort_array(F.collect_list(order)), 1, PIVOTS).alias("some"))
+    pivots = pivots.select("group", "k", F.explode("some").alias("p")).select("group", "k", "p.rep", "p.digest", F.lit(0).cast("long").alias("chunk"))
+    edges = checkpointed(_against_all(docs, large, pivots, width, percent))
+    found = connected_components(edges).withColumnsRenamed({"node": "rep"})
+    labelled = large.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = checkpointed(labelled)
+    sizes = labelled.groupBy("group", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("group").agg(F.max(F.struct("n", F.col("component").alias("c"))).alias("top")).select("group", "top.c")
+    rest = labelled.join(F.broadcast(largest), "group").where(F.col("component") != F.col("c"))  # a row for each large group
+    if rest.isEmpty():
+        return edges
+    count = rest.groupBy("group").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    chunks = F.greatest(F.ceil(F.col("n") / BLOCK_SIZE), F.ceil(F.col("s") / (GROUP_SHINGLES // 2))).cast("long")
+    some = rest.join(F.broadcast(count), "group").select("rep", "digest", "group", "k", F.pmod(F.xxhash64("rep", "digest", F.lit(1)), chunks).alias("chunk"))
+    return edges.unionByName(_against_all(docs, large, some, width, percent))
+
+
 def _exact_stars(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> tuple[DataFrame, bool]:
     """Edges (u, v) that tie each class to its component's least, and whether they are so for all groups already."""
     groups = checkpointed(_candidate_groups(classes, percent).withColumnsRenamed({"node": "rep", "component": "group"}).join(classes.select("rep", "digest", "n_shingles"), "rep"))
-    sizes = groups.groupBy("group").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
-    small = (F.col("members") <= GROUP_SIZE) & (F.col("shingles") <= GROUP_SHINGLES)
-    named = groups.join(sizes, "group")
-    tasks = named.where(small).select("rep", "digest", F.col("group").alias("task"))
-    large = named.where(~small)
-    whole = large.isEmpty()
-    if not whole:
-        # k blocks, each against each: a class goes to the k tasks of its block, a task holds two blocks
-        k = F.greatest(F.ceil(F.col("members") / BLOCK_SIZE), F.ceil(F.col("shingles") / (GROUP_SHINGLES // 2)), F.lit(2))
-        blocks = large.select("rep", "digest", "group", k.alias("k"), F.pmod(F.xxhash64("rep"), k).alias("b"))
-        other = blocks.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-        tasks = tasks.unionByName(other.select("rep", "digest", F.xxhash64("group", F.least("b", "o"), F.greatest("b", "o")).alias("task")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text"))
-    rows = texts.join(tasks.hint("shuffle_hash"), "rep").select("task", "rep", "digest", "text")
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_link(width, percent), "u long, v long"), whole
+    sizes = checkpointed(groups.groupBy("group").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")))
+    large = (F.col("members") > GROUP_SIZE) | (F.col("shingles") > GROUP_SHINGLES)
+    named = join_heavy(groups, sizes, "group", "members", "inner")
+    small = named.where(~large).select("rep", "digest", F.col("group").alias("task"), F.lit(False).alias("first"))
+    whole = sizes.where(large).isEmpty()
+    if whole:
+        return _linked(docs, small, width, percent), whole
+    edges = _linked(docs, small, width, percent).unionByName(_large_links(docs, named.where(large), width, percent))
+    return edges, whole
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
@@ -328,9 +403,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     # a class goes by its least id; an id with several texts may so be the node of several classes
     named = profile.where("n_shingles > 0 and doc_id is not null")
     classes = checkpointed(
-        named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")).withColumnRenamed("least", "rep")
+        named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")).withColumnRenamed("least", "rep")
     )
-    member = profile.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left").select("doc_id", "n_shingles", "rep")
+    wordless = profile.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"))
+    slim = profile.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "digest")
+    member = join_heavy(slim, classes.select("digest", "rep", "copies"), "digest", "copies", "inner").select("doc_id", "n_shingles", "rep").unionByName(wordless)
     member = checkpointed(member.withColumn("rep", F.when(F.col("doc_id").isNotNull() & F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("rep"))))
     several = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("u", "v")  # ids with several texts
     stars, whole = _exact_stars(docs, classes, width, percent)
@@ -338,7 +415,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
         found = stars.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
     else:
         found = connected_components(stars.unionByName(several))
-    joined = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    copies = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
+    found = found.withColumnRenamed("node", "rep").join(copies, "rep", "full").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    keyed = member.where("rep is not null")
+    joined = join_heavy(keyed, found, "rep", "copies").drop("copies").unionByName(member.where("rep is null").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

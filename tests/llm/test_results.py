@@ -92,7 +92,7 @@ def test_near_duplicates(spark, tiny, docs):
 
 
 def test_near_duplicates_with_branching_nodes_and_large_groups(spark, tiny, docs, monkeypatch):
-    for name, value in (("NODE_SIZE", 3), ("GROUP_SIZE", 4), ("BLOCK_SIZE", 2)):
+    for name, value in (("NODE_SIZE", 3), ("GROUP_SIZE", 4), ("BLOCK_SIZE", 2), ("PIVOTS", 1)):
         monkeypatch.setattr(near_dedup, name, value)
     want = components({r.doc_id: r.text for r in docs}, 80)
     got = near_dedup.near_duplicates(table(spark, tiny, "documents"), percent=80)
