@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import base64
 import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -38,8 +40,10 @@ START_DOCS = 1_200
 ROUNDS, RATE = 2, 0.01
 #: Words whose counts are broadcast (16 bytes each); the counts of others are joined.
 TABLE_SIZE = 1_000_000
-#: Words that a worker keeps.
-CACHE_SIZE = 500_000
+#: Words that a worker keeps, and their bytes; characters of the texts that it takes at once.
+CACHE_SIZE, CACHE_BYTES, BATCH_CHARS = 500_000, 32 << 20, 400_000
+#: Attention scores and logits are held within this, so that no exponential overflows.
+MOST_SCORE = 60
 #: The attention model's share in a known word's probability.
 SHARE = 0.5
 WINDOW, STRIDE = 32, 26
@@ -48,6 +52,9 @@ REST = 1e-3
 END_WORD = b"\n"  # no word has white space
 
 
+_OTHER_SPACE = re.compile(r"[^\S ]")
+
+
 class Spelling:
     """Subword ids of words, and of the end."""
 
@@ -61,12 +68,21 @@ class Spelling:
         self.initial[[i for b, i in ranks.items() if b.startswith(b" ")] + [self.end]] = True
 
     def ids(self, word: bytes) -> list[int]:
-        if word == END_WORD:
-            return [self.end]
         ids = self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))
         # white space of other kinds inside a word could start a new id with a space: spell such a word in bytes
         return ids if self.initial[ids[0]] and not self.initial[ids[1:]].any() else [self.space, *[self.byte[b] for b in word]]
 
+    def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        text = (b" " + b" ".join(words)).decode("utf-8", "replace")
+        if not _OTHER_SPACE.search(text):
+            flat = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+            first = np.flatnonzero(self.initial[flat])
+            if len(first) == len(words):  # each word's first id, and no other, begins one
+                return flat, np.diff(np.append(first, len(flat)))
+        ids = [self.ids(w) for w in words]
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
     @property
     def space(self) -> int:
         return self.encoding.encode_single_token(b" ")
@@ -76,14 +92,76 @@ class Spelling:
         return {b: self.encoding.encode_single_token(bytes([b])) for b in range(256)}
 
 
+class Words(dict):
+    """Numbers of the words that a worker has met; ``starts`` and ``ids`` hold their spellings. The end is number 0."""
+
+    def __init__(self, spelling: Spelling):
+        super().__init__()
+        self.spelling = spelling
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self[END_WORD] = 0
+        self.new: list[bytes] = []
+        self.bytes, self.ids, self.starts = 0, np.full(8192, self.spelling.end, np.int32), np.zeros(1025, np.int64)
+        self.starts[1] = 1
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def learn(self, first: int, words: list[bytes]) -> None:
+        """Spells the words numbered from ``first`` on."""
+        ids, lens = self.spelling.spell(words)
+        used = int(self.starts[first])
+        self.starts = _room(self.starts, first + len(words) + 1)
+        self.ids = _room(self.ids, used + len(ids))
+        self.starts[first + 1 : first + len(words) + 1] = used + np.cumsum(lens)
+        self.ids[used : used + len(ids)] = ids
+        self.bytes += sum(map(len, words))
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words, texts end to end, each with its end; and where texts begin."""
+        if len(self) > CACHE_SIZE or self.bytes > CACHE_BYTES:
+            self.empty()
+        split = [[*words_of(t), END_WORD] for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if self.new:
+            new, self.new = self.new, []
+            self.learn(len(self) - len(new), new)
+        return flat, np.cumsum(sizes) - sizes
+
+    def spelled(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words, and where each word's begin."""
+        sizes = self.starts[number + 1] - self.starts[number]
+        at = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(self.starts[number] - at, sizes) + np.arange(int(sizes.sum()))], at
+
+
+def _room(x: np.ndarray, need: int) -> np.ndarray:
+    return x if len(x) >= need else np.concatenate((x, np.zeros(max(need - len(x), len(x)), x.dtype)))
+
+
+def _taken(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that hold about BATCH_CHARS characters; a longer text comes alone."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BATCH_CHARS):
+            size += len(texts[stop])
+            stop += 1
+        yield at, stop
+        at = stop
+
+
 @dataclass
 class Model:
-    """``query``, ``key``: ids x width; ``value`` (and a column of ones), ``own``, ``table``: ids x parts."""
+    """``rows``: query, key, value and own of each id, side by side; ``table``: ids x parts."""
 
-    query: np.ndarray
-    key: np.ndarray
-    value: np.ndarray
-    own: np.ndarray
+    rows: np.ndarray
     place: np.ndarray  # bias of the distance back
     table: np.ndarray
     sums: np.ndarray  # by part: 1, and the share of word starts
@@ -95,24 +173,39 @@ def _softmax(x: np.ndarray, axis: int = -1) -> np.ndarray:
     return x / x.sum(axis, keepdims=True)
 
 
-def _mask(place: np.ndarray) -> np.ndarray:
-    """Added to scores: the bias of a distance, or no way to see what comes later."""
-    n = len(place)
-    back = np.arange(n)[:, None] - np.arange(n)[None, :]
-    return np.where(back >= 0, place[np.clip(back, 0, n - 1)], np.float32(-1e9)).astype(np.float32)
-
-
-def _scatter(ids: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids, and the sums of their rows."""
-    order = np.argsort(ids, kind="stable")
-    some, at = np.unique(ids[order], return_index=True)
-    return some, np.add.reduceat(grad[order], at, axis=0)
+def _scatter(ids: np.ndarray, grad: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, all below ``size``, and the sums of their rows."""
+    order = np.argsort(ids.astype(np.uint16) if size <= 1 << 16 else ids, kind="stable")  # short keys sort by radix
+    held = ids[order]
+    at = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+    return held[at], np.add.reduceat(grad[order], at, axis=0)
 
 
 _BACK = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
 _LOWER = np.tril(np.ones((WINDOW, WINDOW), bool))
 
 
+def _seen(place: np.ndarray) -> np.ndarray:
+    """The factor of a distance, zero for what comes later."""
+    return np.exp(np.clip(place, -MOST_SCORE / 2, MOST_SCORE / 2))[_BACK] * _LOWER
+
+
+def attend(rows: np.ndarray, seen: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Attention weights (windows x WINDOW x WINDOW), the parts' weights (windows x WINDOW x parts), not yet
+    divided by their sum, and the views query, key, value of ``rows``."""
+    width = (rows.shape[-1] - 2 * parts) // 2
+    q, k, v, own = (rows[..., i:j] for i, j in ((0, width), (width, 2 * width), (2 * width, 2 * width + parts), (2 * width + parts, None)))
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a *= np.float32(1 / np.sqrt(width))
+    np.exp(np.clip(a, -MOST_SCORE / 2, MOST_SCORE / 2, out=a), out=a)
+    a *= seen
+    a /= np.matmul(a.reshape(-1, WINDOW), np.ones((WINDOW, 1), np.float32)).reshape(*a.shape[:2], 1)
+    u = np.matmul(a, v)
+    u += own
+    np.exp(np.clip(u, -MOST_SCORE, MOST_SCORE, out=u), out=u)
+    return a, u, (q, k, v)
+
+
 def gradients(rows: np.ndarray, place: np.ndarray, t: np.ndarray, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gradients of the mean log loss by ``rows`` and ``place``, and each part's share in each next id.
 
@@ -120,22 +213,28 @@ def gradients(rows: np.ndarray, place: np.ndarray, t: np.ndarray, live: np.ndarr
     ``t`` the parts' probabilities of the next ids; places not ``live`` count for nothing.
     """
     parts, f4 = t.shape[-1], np.float32
-    width = (rows.shape[-1] - 2 * parts) // 2
-    q, k, v, own = np.split(rows, (width, 2 * width, 2 * width + parts), axis=-1)
-    scale = f4(1 / np.sqrt(width))
-    a = _softmax(q @ k.transpose(0, 2, 1) * scale + _mask(place))
-    pi = _softmax(a @ v + own)
-    resp = pi * t
-    resp /= np.maximum(resp.sum(-1, keepdims=True), f4(1e-30))
-    g_u = pi - resp
+    a, g_u, (q, k, v) = attend(rows, _seen(place), parts)
+    one = np.ones((parts, 1), f4)
+    resp = g_u * t
+    resp /= np.maximum(np.matmul(resp.reshape(-1, parts), one), f4(1e-30)).reshape(*t.shape[:2], 1)
+    g_u /= np.matmul(g_u.reshape(-1, parts), one).reshape(*t.shape[:2], 1)
+    g_u -= resp
     if live is not None:
         g_u *= live[..., None]
         resp *= live[..., None]
-    g_u /= f4(t[..., 0].size if live is None else max(live.sum(), 1))
-    g_a = g_u @ v.transpose(0, 2, 1)
-    g_s = a * (g_a - (g_a * a).sum(-1, keepdims=True))
-    g_rows = np.concatenate((g_s @ k * scale, g_s.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ g_u, g_u), -1)
-    return g_rows, np.bincount(_BACK[_LOWER], g_s.sum(0)[_LOWER], WINDOW).astype(f4), resp
+    g_u *= f4(1 / (t[..., 0].size if live is None else max(live.sum(), 1)))
+    g_s = np.matmul(g_u, v.transpose(0, 2, 1))
+    g_s -= np.einsum("bij,bij->bi", g_s, a)[..., None]
+    g_s *= a
+    width = q.shape[-1]
+    out = np.empty(rows.shape, f4)
+    scale = f4(1 / np.sqrt(width))
+    out[..., :width] = np.matmul(g_s, k)
+    out[..., width : 2 * width] = np.matmul(g_s.transpose(0, 2, 1), q)
+    out[..., : 2 * width] *= scale
+    out[..., 2 * width : 2 * width + parts] = np.matmul(a.transpose(0, 2, 1), g_u)
+    out[..., 2 * width + parts :] = g_u
+    return out, np.bincount(_BACK[_LOWER], g_s.sum(0)[_LOWER], WINDOW).astype(f4), resp
 
 
 class Adam:
@@ -185,15 +284,15 @@ def train(sequences: list[np.ndarray], spelling: Spelling, ranks_path: str, part
         x = flat[begin[:, None] + np.arange(WINDOW)]
         y = flat[begin[:, None] + np.arange(1, WINDOW + 1)]
         table = _softmax(logits.x, 0)
-        g_rows, g_place, resp = gradients(own.x[x], place.x, table[y])
+        g_rows, g_place, resp = gradients(own.x.take(x, 0), place.x, table.take(y, 0))
         n = f4(x.size)
-        some, g = _scatter(y.ravel(), resp.reshape(-1, parts) / n)
+        some, g = _scatter(y.ravel(), resp.reshape(-1, parts) / n, size)
         g_logits = table * (resp.reshape(-1, parts).sum(0) / n)
         g_logits[some] -= g
         g_logits += f4(1e-9) * (logits.x - logits.x.mean(1, keepdims=True))
         now = rate * min(1.0, 2.2 * (1 - step / (steps + 1)) + 0.05)
         logits.move(slice(None), g_logits, now)
-        own.move(*_scatter(x.ravel(), g_rows.reshape(-1, g_rows.shape[-1])), now)
+        own.move(*_scatter(x.ravel(), g_rows.reshape(-1, g_rows.shape[-1]), size), now)
         place.move(slice(None), g_place, now)
     all_rows, table = np.zeros((spelling.size, own.x.shape[1]), f4), np.zeros((spelling.size, parts), f4)
     all_rows[used], table[used] = own.x, _softmax(logits.x, 0)
@@ -217,39 +316,32 @@ def _round(start, rate: float, batch_rows: int = 256):
         spelling = Spelling(s.ranks_path)
         own, place, parts = Adam(s.rows.copy()), Adam(s.place.copy()), s.table.shape[1]
         uses, shares = np.zeros(len(s.table), np.int64), np.zeros(s.table.shape)
-        cache: dict[bytes, list[int]] = {}
-        flat, need = [spelling.end], batch_rows * WINDOW
+        words, size = Words(spelling), spelling.size
+        flat, need = np.array([spelling.end]), batch_rows * WINDOW
 
         def learn(ids: np.ndarray, n: int) -> None:
             """A step over the first ``n`` ids after the first; the rest is padding."""
             x, y = ids[:-1].reshape(-1, WINDOW), ids[1:].reshape(-1, WINDOW)
             live = None if n == x.size else (np.arange(x.size) < n).reshape(x.shape)
-            g_rows, g_place, resp = gradients(own.x[x], place.x, s.table[y], live)
-            some, g = _scatter(x.ravel(), g_rows.reshape(-1, g_rows.shape[-1]))
-            own.move(some, g, rate)
+            g_rows, g_place, resp = gradients(own.x.take(x, 0), place.x, s.table.take(y, 0), live)
+            own.move(*_scatter(x.ravel(), g_rows.reshape(-1, g_rows.shape[-1]), size), rate)
             place.move(slice(None), g_place, rate)
-            some, g = _scatter(y.ravel(), resp.reshape(-1, parts))
+            some, g = _scatter(y.ravel(), resp.reshape(-1, parts), size)
             shares[some] += g
             np.add(uses, np.bincount(x.ravel()[:n], minlength=len(uses)), out=uses)
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                for w in (*words_of(text), END_WORD):
-                    ids = cache.get(w)
-                    if ids is None:
-                        if len(cache) >= CACHE_SIZE:
-                            cache.clear()
-                        ids = cache[w] = spelling.ids(w)
-                    flat += ids
-                if len(flat) > need:
-                    ids, at = np.array(flat, np.int64), 0
-                    while at + need < len(ids):
-                        learn(ids[at : at + need + 1], need)
-                        at += need
-                    flat = ids[at:].tolist()
+            texts = b.column(0).to_pylist()
+            for begin, stop in _taken(texts):
+                ids, _ = words.spelled(words.numbers(texts[begin:stop])[0])
+                flat, at = np.concatenate((flat, ids)), 0
+                while at + need < len(flat):
+                    learn(flat[at : at + need + 1], need)
+                    at += need
+                flat = flat[at:]
         n = len(flat) - 1
         if n:
-            learn(np.array(flat + [spelling.end] * (-n % WINDOW), np.int64), n)
+            learn(np.append(flat, np.full(-n % WINDOW, spelling.end)), n)
         total = int(uses.sum())
         if not total:
             return
@@ -314,12 +406,8 @@ def improved(start: Start, texts: DataFrame, shares: np.ndarray, rate: float) ->
 
 
 def finished(s: Start, spelling: Spelling) -> Model:
-    parts = s.table.shape[1]
-    width = (s.rows.shape[1] - 2 * parts) // 2
-    query, key, value, own = np.split(s.rows, (width, 2 * width, 2 * width + parts), axis=1)
-    value = np.concatenate((value, np.ones((len(value), 1), np.float32)), 1)
-    sums = np.stack((np.ones(parts, np.float32), s.table[spelling.initial].sum(0)), 1)
-    return Model(np.clip(query * np.float32(1 / np.sqrt(width)), -8, 8), np.clip(key, -8, 8), value, np.ascontiguousarray(own), s.place, s.table, sums, s.ranks_path)
+    sums = np.stack((np.ones(s.table.shape[1], np.float32), s.table[spelling.initial].sum(0)), 1)
+    return Model(s.rows, s.place, s.table, sums, s.ranks_path)
 
 
 def score_ids(model: Model, ids: np.ndarray, docs: np.ndarray, end: int, rows: int = 128) -> tuple[np.ndarray, np.ndarray]:
@@ -339,34 +427,31 @@ def score_ids(model: Model, ids: np.ndarray, docs: np.ndarray, end: int, rows: i
     number = np.arange(len(first)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
     begin = np.maximum(np.minimum(first + number * STRIDE, stop - WINDOW), first)  # the last one is full
     covered = np.where(number == 0, first, np.concatenate(([0], np.minimum(begin + WINDOW, stop)[:-1])))
-    # scores are small numbers, so that exp needs no maximum first; the mask is a factor
-    seen = np.exp(np.maximum(_mask(model.place), -80)) * np.tril(np.ones((WINDOW, WINDOW), np.float32))
+    seen, parts = _seen(model.place), model.table.shape[1]
     prob, border = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
     span = np.arange(WINDOW)
     for at in range(0, len(begin), rows):
         place = begin[at : at + rows, None] + span
-        x = context[np.minimum(place, len(ids) - 1)]
-        a = np.matmul(model.query[x], model.key[x].transpose(0, 2, 1))
-        np.exp(a, out=a)
-        a *= seen
-        u = np.matmul(a, model.value[x])  # the last column holds ones: it adds up the weights
-        u = u[..., :-1] / u[..., -1:] + model.own[x]
-        np.exp(u, out=u)
+        x = context.take(place, mode="clip")
+        _, u, _ = attend(model.rows.take(x, 0), seen, parts)
+        u = u.reshape(-1, parts)
         live = np.flatnonzero(((place >= covered[at : at + rows, None]) & (place < stop[at : at + rows, None])).ravel())
-        u = u.reshape(-1, u.shape[-1])[live]
         where = place.ravel()[live]
         mass = np.matmul(u, model.sums)  # of all parts, and of those that begin a word
-        prob[where] = np.einsum("ij,ij->i", u, model.table[ids[where]]) / mass[:, 0]
-        border[where] = mass[:, 1] / mass[:, 0]
+        mass[:, 1] /= mass[:, 0]
+        next_id = np.einsum("ij,ij->i", u, model.table.take(ids.take(place.ravel(), mode="clip"), 0))
+        next_id /= mass[:, 0]
+        prob[where], border[where] = next_id[live], mass[live, 1]
     return np.log(np.maximum(prob, 1e-30)), np.log(np.clip(border, 1e-30, 1.0))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of a partition, in parts of bounded size; each text ends with the end."""
+    """(hash, n) of a partition's words, in parts of bounded size; each text ends with the end."""
     seen: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        return batch(word=pa.array(list(seen.keys()), pa.binary()), n=pa.array(list(seen.values()), pa.int64()))
+        hashes = np.fromiter(map(_hash, seen), np.uint64, len(seen))
+        return batch(hash=pa.array(hashes.view(np.int64), pa.int64()), n=pa.array(list(seen.values()), pa.int64()))
 
     for b in batches:
         for text in b.column(0).to_pylist():
@@ -400,56 +485,30 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-class Scorer:
+class Scorer(Words):
     """Scores texts in a worker; keeps each known word's count and spelling."""
 
     def __init__(self, model: Model, tables: Tables, share: float = SHARE):
         self.model, self.tables, self.share = model, tables, share
-        self.spelling = Spelling(model.ranks_path)
-        self._empty()
-
-    def _empty(self) -> None:
-        self.known: dict[bytes, int] = {END_WORD: 0}
-        self.counts, self.ids, self.starts, self.used = np.zeros(1024, np.int64), np.zeros(8192, np.int32), np.zeros(1025, np.int64), 0
-        self.hashes = np.zeros(1024, np.uint64)
-        self.known.clear()
-
-    def _learn(self, words: list[bytes]) -> None:
-        for w in words:
-            self.known[w] = len(self.known)
-        n, ids = len(self.known), [self.spelling.ids(w) for w in words]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        hashes = np.fromiter(map(_hash, words), np.uint64, len(words))
-        k = n - len(words)
-        for name, need in (("counts", n), ("hashes", n), ("starts", n + 1), ("ids", self.used + int(lens.sum()))):
-            have = getattr(self, name)
-            if len(have) < need:
-                setattr(self, name, np.concatenate((have, np.zeros(max(need - len(have), len(have)), have.dtype))))
-        self.counts[k:n], self.hashes[k:n] = self.tables.find(hashes), hashes
-        self.starts[k] = self.used
-        self.starts[k + 1 : n + 1] = self.used + np.cumsum(lens)
-        self.ids[self.used : self.used + int(lens.sum())] = [i for some in ids for i in some]
-        self.used += int(lens.sum())
-
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all words, texts end to end, each with its end; and where texts begin."""
-        split = [[*words_of(t), END_WORD] for t in texts]
-        flat = [w for s in split for w in s]
-        new = set(flat) - self.known.keys()
-        if len(self.known) + len(new) > CACHE_SIZE:
-            self._empty()
-            new = set(flat)
-        if new:
-            self._learn(sorted(new))
-        return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)), np.concatenate(([0], np.cumsum([len(s) for s in split])[:-1])).astype(np.int64)
+        super().__init__(Spelling(model.ranks_path))
+
+    def empty(self) -> None:
+        super().empty()
+        self.hashes, self.counts = np.full(1024, _hash(END_WORD), np.uint64), np.zeros(1024, np.int64)
+        self.counts[:1] = self.tables.find(self.hashes[:1])
+
+    def learn(self, first: int, words: list[bytes]) -> None:
+        super().learn(first, words)
+        stop = first + len(words)
+        self.hashes, self.counts = _room(self.hashes, stop), _room(self.counts, stop)
+        self.hashes[first:stop] = np.fromiter(map(_hash, words), np.uint64, len(words))
+        self.counts[first:stop] = self.tables.find(self.hashes[first:stop])
 
     def score(self, texts: list[str]):
         """Per text: tokens, known tokens, base and model log10 sums over the words that the table decides;
         and (text, word hash, log probability by the model) of the others."""
-        number, begin = self.words(texts)
-        sizes = self.starts[number + 1] - self.starts[number]
-        at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        ids = self.ids[np.repeat(self.starts[number] - at, sizes) + np.arange(int(sizes.sum()))]
+        number, begin = self.numbers(texts)
+        ids, at = self.spelled(number)
         prob, border = score_ids(self.model, ids, at[begin], self.spelling.end)
         word = np.add.reduceat(prob, at).astype(np.float64) - border[at]
         after = np.append(border[at[1:]], 0.0)  # what comes after a word begins a word
@@ -480,12 +539,7 @@ def _score(model, tables, share: float):
         scorer = Scorer(pickle.loads(model.value), tables.value, share)
         for b in batches:
             keys, ids, held, texts = b.column(0), b.column(1), b.column(2), b.column(3).to_pylist()
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 400_000):
-                    size += len(texts[stop])
-                    stop += 1
+            for at, stop in _taken(texts):
                 n, known, base, mixed, (text, hashes, word) = scorer.score(texts[at:stop])
                 k, none = stop - at, len(text)
                 pad = lambda x, kind, n=none: pa.concat_arrays([pa.array(x, kind), pa.nulls(n, kind)])
@@ -502,17 +556,10 @@ def _score(model, tables, share: float):
                     hash=pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(hashes.view(np.int64), pa.int64())]),
                     word=pa.concat_arrays([pa.nulls(k, pa.float64()), pa.array(word, pa.float64())]),
                 )
-                at = stop
 
     return run
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hashes = np.fromiter(map(_hash, b.column(0).to_pylist()), np.uint64, b.num_rows)
-        yield batch(hash=pa.array(hashes.view(np.int64), pa.int64()), n=b.column(1))
-
-
 def fit(docs: DataFrame, ranks_path: str, folds: int = 7, out: int = 2) -> Model:
     """The attention model: a start from the START_DOCS training texts whose ids hash lowest, then one pass over all of them.
 
@@ -523,15 +570,8 @@ def fit(docs: DataFrame, ranks_path: str, folds: int = 7, out: int = 2) -> Model
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(START_DOCS)
     sample = rows.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(START_DOCS).collect()
     spelling = Spelling(ranks_path)
-    cache: dict[bytes, list[int]] = {}
-    sequences = []
-    for r in sample:
-        ids: list[int] = []
-        for w in [*words_of(r.text), END_WORD]:
-            if w not in cache:
-                cache[w] = spelling.ids(w)
-            ids += cache[w]
-        sequences.append(np.array(ids, np.int64))
+    words = Words(spelling)
+    sequences = [words.spelled(words.numbers([r.text])[0])[0] for r in sample]
     now = train(sequences, spelling, ranks_path)
     shares = np.zeros(now.table.shape)
     for k in range(ROUNDS):
@@ -539,14 +579,33 @@ def fit(docs: DataFrame, ranks_path: str, folds: int = 7, out: int = 2) -> Model
     return finished(now, spelling)
 
 
+def frequent(counts: DataFrame, most: int) -> int:
+    """The least n such that at most ``most`` rows of ``counts`` have n or more, by a histogram in two steps.
+
+    Below 1,024 each n has a cell, above there are eight to an octave, so that the driver
+    gets some thousand rows at most; a cell that would go beyond ``most`` stays out whole.
+    """
+    octave = F.floor(F.log2("n") * 8)
+    cell = F.when(F.col("n") < 1024, F.col("n")).otherwise(octave + 1024)
+    rows = counts.groupBy(cell.alias("cell")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()
+    held, least = 0, (1 << 63) - 1
+    for r in sorted(rows, key=lambda r: -r.least):
+        held += r.rows
+        if held > most:
+            break
+        least = r.least
+    return least
+
+
 def score_texts(docs: DataFrame, folds: int = 7, out: int = 2, share: float = SHARE, table_size: int = TABLE_SIZE, ranks_path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Rows whose crc32(doc_id) modulo ``folds`` is ``out`` are held out: neither counts
     nor model see them. ``base_score`` is the add-one unigram log10 probability of
     the text's words and end, ``score`` the model's. Word counts cover all training
-    texts whole: those of the ``table_size`` most frequent words are broadcast, the
-    others' are joined by hash, so no count is dropped.
+    texts whole: those of the most frequent words, ``table_size`` at most, are
+    broadcast, the others' are joined, so no count is dropped. Words are told apart
+    by a hash of 64 bits.
 
     A null or empty text is one end token. Rows with a null id count as training
     rows and are scored. Repeated rows give repeated rows; an empty table gives an
@@ -556,13 +615,13 @@ def score_texts(docs: DataFrame, folds: int = 7, out: int = 2, share: float = SH
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     training = rows.where(fold("doc_id", folds) != out)
-    counts = training.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = checkpointed(counts.mapInArrow(_hashed, "hash long, n long"))
+    counts = checkpointed(training.select("text").mapInArrow(_count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
     size = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
-    top = counts.orderBy(F.desc("n"), "hash").limit(table_size).toArrow()  # at most table_size pairs of numbers
+    least = frequent(counts, table_size)
+    top = counts.where(F.col("n") >= least).toArrow()  # at most table_size pairs of numbers
     hashes, n = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(hashes)
-    tables = Tables(hashes[order], n[order], size.n or 0, size.v, size.v <= table_size)
+    tables = Tables(hashes[order], n[order], size.n or 0, size.v, size.v == len(n))
     model = spark.sparkContext.broadcast(pickle.dumps(fit(rows, ranks_path, folds, out)))
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", (fold("doc_id", folds) == out).alias("held_out"), "text")
     scored = keyed.mapInArrow(
@@ -571,8 +630,7 @@ def score_texts(docs: DataFrame, folds: int = 7, out: int = 2, share: float = SH
     total, distinct = tables.total, tables.distinct
     if not tables.complete:
         scored = checkpointed(scored)
-        least = int(n.min()) if len(n) else 0
-        rest = scored.where("hash is not null").select("row", "hash", "word").join(counts.where(F.col("n") <= least), "hash", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+        rest = scored.where("hash is not null").select("row", "hash", "word").join(counts.where(F.col("n") < least), "hash", "left").withColumn("c", F.coalesce("n", F.lit(0)))
         by_count = F.log((F.col("c") + 1) / float(total + distinct + 1) * float(1 - share))
         by_model = F.col("word") + float(np.log(share))
         logs = F.greatest(by_model, by_count) + F.log1p(F.exp(-F.abs(by_model - by_count)))
