@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import batch, text_of
-from flowlens.llm.pieces import Cutter
+from flowlens.llm.pieces import MOST_KEPT, Cutter
 
 #: Tokens that a task gathers before it packs them; pieces in a worker's cache.
 BLOCK_TOKENS, CACHE_SIZE = 4_000_000, 750_000
@@ -90,7 +90,9 @@ class Encoder:
         if len(self.known) >= self.limit:
             self.known.clear()
         ids = self.encoding.encode_ordinary(Cutter.piece(key))
-        value = self.known[key] = np.array(ids, self.kind).tobytes()
+        value = np.array(ids, self.kind).tobytes()
+        if len(key) <= MOST_KEPT:
+            self.known[key] = value
         return value
 
     def encode(self, text: str) -> np.ndarray:
@@ -108,38 +110,38 @@ def _pack(ranks_path: str, size: int, end: int, pad: int):
         for at in range(0, len(packed), 512):
             some = packed[at : at + 512]
             ids = np.full((len(some), size), pad, np.int32)
-            positions = np.zeros((len(some), size), np.int32)
-            ends, docs, starts, filled = [], [], [], []
-            for k, items in enumerate(some):
-                to, cut = 0, [0]
-                for i in items:
-                    n = len(segments[i][2])
-                    ids[k, to : to + n] = segments[i][2]
-                    positions[k, to : to + n] = np.arange(n)
-                    to += n
-                    cut.append(to)
-                positions[k, to:] = np.arange(size - to)
-                ends.append(cut)
-                docs.append([segments[i][0] for i in items])
-                starts.append([segments[i][1] for i in items])
-                filled.append(to)
+            lens = np.array([len(segments[i][2]) for items in some for i in items], np.int64)
+            per_row = np.array([len(items) for items in some])
+            row = np.repeat(np.arange(len(some)), per_row)
+            first = np.cumsum(per_row) - per_row
+            ends = np.cumsum(lens) - np.repeat((np.cumsum(lens) - lens)[first], per_row)  # in the row
+            filled = ends[first + per_row - 1]
+            ids[np.arange(size) < filled[:, None]] = np.concatenate([segments[i][2] for items in some for i in items])
+            # the place of each segment's start, and of the padding's, carried on to what comes before the next
+            begin = np.zeros((len(some), size + 1), np.int32)
+            begin[row, ends] = ends
+            positions = np.arange(size, dtype=np.int32) - np.maximum.accumulate(begin[:, :size], axis=1)
+            cuts = np.insert(ends, first, 0)
+            docs = [segments[i][0] for items in some for i in items]
+            starts = [segments[i][1] for items in some for i in items]
+            bounds = pa.array(np.append(first, len(lens)).astype(np.int32))
             offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * size)
             yield batch(
-                pack_id=pa.array([(part << 33) + number + at + k for k in range(len(some))], pa.int64()),
-                n_tokens=pa.array(filled, pa.int32()),
+                pack_id=pa.array((part << 33) + number + at + np.arange(len(some)), pa.int64()),
+                n_tokens=pa.array(filled.astype(np.int32)),
                 input_ids=pa.ListArray.from_arrays(offsets, pa.array(ids.reshape(-1))),
                 position_ids=pa.ListArray.from_arrays(offsets, pa.array(positions.reshape(-1))),
-                cu_seqlens=pa.array(ends, pa.list_(pa.int32())),
-                doc_ids=pa.array(docs, pa.list_(pa.int64())),
-                token_starts=pa.array(starts, pa.list_(pa.int64())),
+                cu_seqlens=pa.ListArray.from_arrays(pa.array((np.append(first, len(lens)) + np.arange(len(some) + 1)).astype(np.int32)), pa.array(cuts.astype(np.int32))),
+                doc_ids=pa.ListArray.from_arrays(bounds, pa.array(docs, pa.int64())),
+                token_starts=pa.ListArray.from_arrays(bounds, pa.array(starts, pa.int64())),
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks_path, end)
         segments, held, number = [], 0, 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encoder.encode(text.as_py())
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = encoder.encode(text)
                 for at in range(0, len(ids), size):
                     segments.append((doc_id, at, ids[at : at + size]))
                     held += len(segments[-1][2])
@@ -164,6 +166,8 @@ def pack(docs: DataFrame, size: int = 2048, ranks_path: str | None = None, end:
     doc_ids[k] and starts with that document's token token_starts[k];
     ``position_ids`` start again at 0 with each segment and with the padding.
     Each document ends with ``end``. pack_id is unique, the task's number above bit 33.
+    Which documents share a row, and pack_id, follow from how the table is partitioned:
+    a task packs what it reads, in blocks of BLOCK_TOKENS.
 
     Null and empty texts are one ``end`` token; a document longer than a row is
     split into several segments; repeated rows are packed as often as they come, a

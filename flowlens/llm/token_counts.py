@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import batch, map_batches, text_of
-from flowlens.llm.pieces import Cutter, load_tokenizer, special_strings, tokenizer_path
+from flowlens.llm.pieces import MOST_KEPT, Cutter, load_tokenizer, special_strings, tokenizer_path
 
 #: A piece is frequent in a partition if it is at least one in so many of its pieces.
 FREQUENT_SHARE = 20_000
@@ -90,7 +90,11 @@ class LengthCache:
             self._encode({k for k in new if k not in self.lengths})
             if any(k not in self.lengths for k in new):  # the cache was emptied: this text alone
                 self._encode({k for k in new if k not in self.lengths})
-            return sum(map(self.lengths.__getitem__, keys))
+            total = sum(map(self.lengths.__getitem__, keys))
+            for k in new:
+                if len(k) > MOST_KEPT:
+                    del self.lengths[k]
+            return total
 
 
 def _count_tokens(path: str, table, limit: int):
