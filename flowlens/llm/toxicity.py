@@ -2,9 +2,9 @@
 
 A word's vector is the mean of the vectors of its hashed character n-grams (and of
 the word itself), so a misspelling that was never seen shares most of them. The
-vectors of ``span`` words in a row are averaged and go through a linear softmax;
-a document's logit is the soft maximum over its stretches, as a few toxic words
-in a long clean text are enough. Embeddings and softmax are trained jointly in
+vectors of some words in a row are averaged and go through a linear softmax; a
+document's logit is the soft maximum over its stretches, as a few toxic words in a
+long clean text are enough, in the mean over short and longer stretches. Embeddings and softmax are trained jointly in
 numpy, on a bounded sample of labelled rows; every document is then scored whole.
 """
 
@@ -26,7 +26,10 @@ from flowlens.llm.shingles import mix64
 _FOLD = bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Labelled rows that the model is fitted on, at most, of either class.
 TRAIN_TOXIC, TRAIN_CLEAN = 1_000, 2_000
-CACHE_SIZE = 750_000
+#: Words of the stretches, steps of the training and its weight decay, chosen among those that cross-validation on training rows put near each other.
+SPANS, STEPS, DECAY = (1, 2, 4), 45, 1e-6
+#: Words that a worker keeps.
+CACHE_SIZE = 300_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -62,7 +65,7 @@ class Model:
     vectors: np.ndarray  # buckets x dim
     softmax: np.ndarray  # dim x 2
     bias: float
-    span: int
+    spans: tuple[int, ...]
     constant: bool = False  # nothing was learnt: every text has the bias as its logit
 
     def word_logits(self, words: list[bytes]) -> np.ndarray:
@@ -76,7 +79,7 @@ class Model:
     def text_logit(self, each: np.ndarray) -> float:
         if self.constant:
             return self.bias
-        return self.bias + float(_pooled(_stretches(each, self.span))) if len(each) else self.bias + EMPTY
+        return self.bias + (sum(float(_pooled(_stretches(each, n))) for n in self.spans) / len(self.spans) if len(each) else EMPTY)
 
 
 #: The pooled logit of a text without words: no evidence of anything toxic.
@@ -95,7 +98,7 @@ def _pooled(z: np.ndarray) -> float:
     return top + np.log(np.exp(z - top).sum())
 
 
-def fit(texts: list[str], toxic: list[int], weight_clean: float = 1.0, buckets: int = 1 << 18, dim: int = 8, span: int = 4, steps: int = 45, rate: float = 0.08, seed: int = 7) -> Model:
+def fit(texts: list[str], toxic: list[int], weight_clean: float = 1.0, buckets: int = 1 << 18, dim: int = 8, spans: tuple[int, ...] = SPANS, steps: int = STEPS, rate: float = 0.08, decay: float = DECAY, seed: int = 7) -> Model:
     """Joint training of n-gram vectors and softmax: full-batch Adam on the log loss.
 
     ``weight_clean`` weighs clean rows, to undo how the sample was drawn.
@@ -103,7 +106,7 @@ def fit(texts: list[str], toxic: list[int], weight_clean: float = 1.0, buckets:
     rng = np.random.default_rng(seed)
     known: dict[bytes, int] = {}
     rows = [np.array([known.setdefault(w, len(known)) for w in words_of(t)], np.int64) for t in texts]
-    model = Model(rng.normal(0, 0.05, (buckets, dim)).astype(np.float32), rng.normal(0, 0.5, (dim, 2)).astype(np.float32), 0.0, span)
+    model = Model(rng.normal(0, 0.05, (buckets, dim)).astype(np.float32), rng.normal(0, 0.5, (dim, 2)).astype(np.float32), 0.0, spans)
     kept = [i for i, r in enumerate(rows) if len(r)]
     if not known or not 0 < sum(toxic[i] for i in kept) < len(kept):
         model.constant = True  # nothing to tell apart
@@ -116,47 +119,53 @@ def fit(texts: list[str], toxic: list[int], weight_clean: float = 1.0, buckets:
     flat = np.concatenate(rows)
     lens = np.array([len(r) for r in rows])
     begin = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    n_win = np.maximum(lens - span + 1, 1)
-    win_doc = np.repeat(np.arange(len(rows)), n_win)
-    win_begin = np.concatenate(([0], np.cumsum(n_win)[:-1]))
-    first = begin[win_doc] + np.arange(len(win_doc)) - win_begin[win_doc]
-    width = np.minimum(span, lens)[win_doc]
+    stretches = []  # of each span: the document, first word and width of each stretch, and where documents' stretches begin
+    for span in spans:
+        n_win = np.maximum(lens - span + 1, 1)
+        win_doc = np.repeat(np.arange(len(rows)), n_win)
+        win_begin = np.cumsum(n_win) - n_win
+        stretches.append((win_doc, begin[win_doc] + np.arange(len(win_doc)) - win_begin[win_doc], np.minimum(span, lens)[win_doc], win_begin))
     ids, starts = ngrams(list(known), buckets)
     sizes = np.diff(np.append(starts, len(ids)))
     by_bucket = np.argsort(ids, kind="stable")
-    used, used_at = np.unique(ids[by_bucket], return_index=True)
+    used, used_at, at = np.unique(ids[by_bucket], return_index=True, return_inverse=True)
+    ids = np.empty(len(ids), np.int64)
+    ids[by_bucket] = at  # rows of the buckets that these texts use: no others are trained
     owner = np.repeat(np.arange(len(known)), sizes)[by_bucket]
 
-    params = {"v": model.vectors, "s": model.softmax, "b": np.zeros(1)}
+    params = {"v": model.vectors[used], "s": model.softmax, "b": np.zeros(1)}
     moments = {k: (np.zeros_like(p, np.float64 if k == "b" else np.float32), np.zeros_like(p, np.float64 if k == "b" else np.float32)) for k, p in params.items()}
     params["b"][0] = -4.0
     for step in range(1, steps + 1):
         d = model.softmax[:, 1] - model.softmax[:, 0]
-        each = np.add.reduceat((model.vectors @ d)[ids], starts) / sizes  # a mean of dot products is the mean vector's
+        each = np.add.reduceat((params["v"] @ d)[ids], starts) / sizes  # a mean of dot products is the mean vector's
         total = np.concatenate(([0.0], np.cumsum(each[flat], dtype=np.float64)))
-        z = (total[first + width] - total[first]) / width
-        top = np.maximum.reduceat(z, win_begin)
-        e = np.exp(z - top[win_doc])
-        mass = np.add.reduceat(e, win_begin)
-        logit = params["b"][0] + top + np.log(mass)
+        logit, parts = np.full(len(rows), params["b"][0]), []
+        for win_doc, first, width, win_begin in stretches:
+            z = (total[first + width] - total[first]) / width
+            top = np.maximum.reduceat(z, win_begin)
+            e = np.exp(z - top[win_doc])
+            mass = np.add.reduceat(e, win_begin)
+            logit += (top + np.log(mass)) / len(stretches)
+            parts.append(e / mass[win_doc] / width / len(stretches))
         p = 1 / (1 + np.exp(-logit))
         g_doc = w * (p - y) / w.sum()
-        g_win = g_doc[win_doc] * e / mass[win_doc] / width
         edge = np.zeros(len(flat) + 1)
-        edge += np.bincount(first, g_win, len(flat) + 1)
-        edge -= np.bincount(first + width, g_win, len(flat) + 1)
+        for (win_doc, first, width, _), part in zip(stretches, parts):
+            g_win = g_doc[win_doc] * part
+            edge += np.bincount(first, g_win, len(flat) + 1)
+            edge -= np.bincount(first + width, g_win, len(flat) + 1)
         g_word = np.bincount(flat, np.cumsum(edge)[:-1], len(known))
         g_bucket = np.add.reduceat((g_word / sizes).astype(np.float32)[owner], used_at)
-        g_dir = g_bucket @ model.vectors[used]
+        g_dir = g_bucket @ params["v"]
         grads = {"s": np.stack([-g_dir, g_dir], 1) + 1e-5 * model.softmax, "b": np.array([g_doc.sum()])}
-        g_v = np.zeros_like(model.vectors)
-        g_v[used] = g_bucket[:, None] * d[None, :]
-        grads["v"] = g_v + np.float32(1e-7) * model.vectors
+        grads["v"] = g_bucket[:, None] * d[None, :] + np.float32(decay) * params["v"]
         for k, grad in grads.items():
             m, v = moments[k]
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             params[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)).astype(params[k].dtype)
+    model.vectors[used] = params["v"]
     model.bias = float(params["b"][0])
     return model
 
@@ -189,10 +198,9 @@ class Scorer:
         self.known: dict[bytes, float] = {}
 
     def scores(self, texts: list[str]) -> list[float]:
-        split = [words_of(t) for t in texts]
         out = []
-        for at in range(0, len(split), 256):
-            part = split[at : at + 256]
+        for at in range(0, len(texts), 64):
+            part = [words_of(t) for t in texts[at : at + 64]]
             new = list({w for ws in part for w in ws} - self.known.keys())
             if len(self.known) + len(new) > self.limit:
                 self.known = {}
