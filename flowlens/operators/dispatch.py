@@ -14,29 +14,42 @@ from flowlens.functions.tables import closure, first_by, ranked
 HASHES, CELLS = 4, 1024
 
 
+def _scope(df: DataFrame) -> list[str]:
+    """Queues are told apart by namespace where the rows have one."""
+    return [c for c in ("namespace_id", "queue") if c in df.columns]
+
+
 def frontier(candidates: DataFrame) -> DataFrame:
-    """The first candidate of each fairness key, and all without one."""
+    """The first candidate of each fairness key of a queue, and all without one."""
     keyed, free = candidates.where("fairness_key is not null"), candidates.where("fairness_key is null")
-    return first_by(keyed, ["queue", "fairness_key"], F.asc("priority"), F.asc("available_at"), F.asc("id")).unionByName(free)
+    order = F.asc("priority"), F.asc("available_at"), F.asc("id")
+    return first_by(keyed, [*_scope(candidates), "fairness_key"], *order).unionByName(free)
 
 
 def claim(candidates: DataFrame, passes: DataFrame, as_of: Column, worker_id: int | None = None, limit: int = 10) -> DataFrame:
     """Up to ``limit`` runs to claim, in order.
 
-    Candidates are due, waiting runs of tasks that are neither over nor past their
-    deadline. A key's first one competes; the order is priority, the key's pass
-    value, whether it ran on this worker before, time and id.
+    Of the due, waiting runs, a key's first one competes; it is claimed only if its
+    task is neither over (``task_state``, where given) nor past its deadline, and
+    blocks its key until then. The order is priority, the key's pass value,
+    whether it ran on this worker before, time and id.
     """
-    due = candidates.where(F.col("state").isin("PENDING", "SLEEPING") & (F.col("available_at") <= as_of) & (F.col("deadline_at").isNull() | (F.col("deadline_at") > as_of)))
-    first = frontier(due).join(passes, ["queue", "fairness_key"], "left").withColumn("pass", F.coalesce("pass", F.lit(0.0)))
+    due = candidates.where(F.col("state").isin("PENDING", "SLEEPING") & (F.col("available_at") <= as_of))
+    first = frontier(due).where(F.col("deadline_at").isNull() | (F.col("deadline_at") > as_of))
+    if "task_state" in first.columns:
+        first = first.where(~F.col("task_state").isin("CANCELLED", "FAILED", "COMPLETED"))
+    keys = [*_scope(passes), "fairness_key"]
+    first = first.join(passes, keys, "left").withColumn("pass", F.coalesce("pass", F.lit(0.0)))
     sticky = F.when(F.col("worker_id") == F.lit(worker_id), 0).otherwise(1)
     return ranked(first, limit, F.asc("priority"), F.asc("pass"), sticky.asc(), F.asc("available_at"), F.asc("id"))
 
 
 def _cells(df: DataFrame) -> DataFrame:
-    """A row for each of a key's cells, one in each row of the sketch."""
+    """A row for each of a key's cells, one in each row of the sketch, by the MD5 of row and key."""
     seeds = F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1))).alias("r")
-    return df.select("*", seeds).withColumn("cell", F.col("r") * CELLS + F.pmod(F.xxhash64("r", "fairness_key"), F.lit(CELLS)).cast("int"))
+    digest = F.md5(F.concat(F.col("r").cast("string"), F.lit(":"), F.col("fairness_key")).cast("binary"))
+    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return df.select("*", seeds).withColumn("cell", (F.col("r") * CELLS + F.pmod(number, F.lit(CELLS))).cast("int"))
 
 
 def fairness_advance(sketch: DataFrame, served: DataFrame, step: float = 1000.0, most: float = 1e11) -> DataFrame:
@@ -137,9 +150,13 @@ def retry_decision(failures: DataFrame, as_of: Column, fatal: tuple[str, ...] =
 
 
 def prunable_tasks(tasks: DataFrame, as_of: Column, days: int = 30, limit: int | None = None) -> DataFrame:
-    """Ended tasks older than ``days`` by their own end time, whose parent is none, gone or ended."""
+    """Ended tasks older than ``days``, whose parent is none, gone or ended.
+
+    Completed and continued tasks are dated by their completion, cancelled ones by
+    their cancellation, failed ones by their creation; without that date they stay.
+    """
     cut = as_of - F.expr(f"INTERVAL {days} DAYS")
-    at = F.when(F.col("state") == "COMPLETED", F.col("completed_at")).when(F.col("state") == "CANCELLED", F.col("cancelled_at")).otherwise(F.col("created_at"))
+    at = F.when(F.col("state").isin("COMPLETED", "CONTINUED_AS_NEW"), F.col("completed_at")).when(F.col("state") == "CANCELLED", F.col("cancelled_at")).otherwise(F.col("created_at"))
     rows = tasks.where(F.col("state").isin(*TERMINAL) & (at < cut)).select("id", "parent_id", "state", at.alias("ended_at"))
     live = tasks.where(~F.col("state").isin(*TERMINAL)).select(F.col("id").alias("parent_id"))
     found = rows.join(live, "parent_id", "left_anti").select("id", "state", "ended_at")

@@ -46,16 +46,21 @@ def definition_activity(tasks: DataFrame, name: str, as_of: Column, days: int =
 
 
 def worker_activity(workers: DataFrame, runs: DataFrame, as_of: Column, minutes: int = 5) -> DataFrame:
-    """Each worker's running runs, and those that ended in the last ``minutes``; busy share and health.
+    """Each worker's running runs, and those that ended in the last ``minutes``, in its namespace; and its health.
 
-    A worker is healthy if its lease reaches past ``as_of``, or it was seen within 30 s.
+    A worker is healthy if the lease of a running run reaches past ``as_of``, or it was
+    seen within 30 s. Leases of runs that have ended say nothing.
     """
-    ended = F.col("finished_at") >= as_of - F.expr(f"INTERVAL {minutes} MINUTES")
-    recent = runs.where((F.col("state") == "RUNNING") | (F.col("state").isin("COMPLETED", "FAILED") & ended))
-    found = recent.groupBy("worker_id").agg(_n(F.col("state") == "RUNNING").alias("running"), _n(F.col("state") == "COMPLETED").alias("completed"), _n(F.col("state") == "FAILED").alias("failed"), F.max("lease_expires_at").alias("lease"))
-    joined = workers.join(found, "worker_id", "left")
-    healthy = F.coalesce(F.col("lease") > as_of, F.lit(False)) | F.coalesce(F.col("updated_at") > as_of - F.expr("INTERVAL 30 SECONDS"), F.lit(False))
-    return joined.select("worker_id", "concurrency", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("running", "completed", "failed")], healthy.alias("healthy"))
+    keys = [c for c in ("namespace_id", "worker_id") if c in workers.columns]
+    running, ended = F.col("state") == "RUNNING", ("COMPLETED", "FAILED", "CANCELLED")
+    recent = runs.where(running | (F.col("state").isin(*ended) & (F.col("finished_at") > as_of - F.expr(f"INTERVAL {minutes} MINUTES"))))
+    counts = [_n(F.col("state") == s).alias(s.lower()) for s in ("RUNNING", *ended)]
+    found = recent.where("worker_id is not null").groupBy(*keys).agg(*counts, F.max(F.when(running, F.col("lease_expires_at"))).alias("lease"))
+    joined = workers.join(found, keys, "left")
+    seen = F.col("updated_at") > as_of - F.expr("INTERVAL 30 SECONDS")
+    healthy = F.coalesce(F.col("lease") > as_of, F.lit(False)) | F.coalesce(seen, F.lit(False))
+    shown = [F.coalesce(s.lower(), F.lit(0)).alias(s.lower()) for s in ("RUNNING", *ended)]
+    return joined.select(*keys, "concurrency", *shown, healthy.alias("healthy"))
 
 
 def latency_percentiles(spans: DataFrame, as_of: Column, hours: int = 24, limit: int = 50) -> DataFrame:

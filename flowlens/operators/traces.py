@@ -10,52 +10,76 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from flowlens.functions.columns import millis_between
-from flowlens.functions.tables import closure
+from flowlens.functions.tables import closure, cut_lineage
 
 #: The span kinds that have a start and an end, and those that are points.
 PAIRED, POINTS = ("SLEEP", "WAIT", "CONDITION"), ("SIGNAL", "UPDATE", "EMIT")
+_EVENT = "struct<t: timestamp_ntz, e: bigint>"
 
 
 def history_spans(history: DataFrame) -> DataFrame:
-    """Spans of a history (task_id, seq, kind, phase, name, at); phase is START, END, TIMEOUT or POINT.
-
-    Sleeps and conditions pair in order: the k-th end closes the k-th start of a task
-    and kind. A wait is named: an end closes the latest start of its name, and a
-    start that another one of its name follows is lost. What isn't closed is RUNNING.
+    """Spans of a history (task_id, seq, kind, phase, name, at, timer_seq); phase is START, END, TIMEOUT or POINT.
+
+    A wait has a slot by its name, a sleep by its ``timer_seq`` where it has one (the
+    column may be left out): an end closes the start that its slot holds, and a start
+    that another one of its slot follows is lost. Other sleeps, and conditions, pair in
+    order: an end closes the oldest open start of its task and kind. A sleep's end
+    whose slot is empty does so too. Ends that find nothing open are dropped; starts
+    that nothing closes are RUNNING.
     """
-    wait = F.col("kind") == "WAIT"
-    is_start = F.col("phase") == "START"
-    queue = Window.partitionBy("task_id", "kind")
-    in_order = history.where(F.col("kind").isin("SLEEP", "CONDITION")).withColumn("_k", F.row_number().over(Window.partitionBy("task_id", "kind", is_start).orderBy("seq")))
-    fifo = in_order.groupBy("task_id", "kind", "_k").agg(
-        F.min(F.when(is_start, F.col("seq"))).alias("seq"), F.min(F.when(is_start, F.col("name"))).alias("name"), F.min(F.when(is_start, F.col("at"))).alias("started_at"), F.min(F.when(~is_start, F.col("at"))).alias("finished_at"), F.min(F.when(~is_start, F.col("phase"))).alias("_end"),
-    ).where("seq is not null").drop("_k")
-    named = Window.partitionBy("task_id", "name").orderBy("seq")
-    after = lambda c: F.lead(c).over(named)
-    waits = history.where(wait).withColumns({"_next": after("phase"), "finished_at": after("at")}).where(is_start & (F.col("_next").isNull() | (F.col("_next") != "START")))
-    waits = waits.select("task_id", "kind", "seq", "name", F.col("at").alias("started_at"), "finished_at", F.col("_next").alias("_end"))
-    points = history.where(F.col("kind").isin(*POINTS)).select("task_id", "kind", "seq", "name", F.col("at").alias("started_at"), F.col("at").alias("finished_at"), F.lit("END").alias("_end"))
+    if "timer_seq" not in history.columns:
+        history = history.withColumn("timer_seq", F.lit(None).cast("long"))
+    kind, is_start = F.col("kind"), F.col("phase") == "START"
+    slot = F.when(kind == "WAIT", F.coalesce("name", F.lit(""))).when(kind == "SLEEP", F.col("timer_seq").cast("string"))
+    rows = history.select("task_id", "seq", "kind", "phase", "name", "at", slot.alias("_slot"))
+    in_slot = Window.partitionBy("task_id", "kind", "_slot").orderBy("seq")
+    held = rows.where("_slot is not null").withColumns({"_before": F.lag("phase").over(in_slot), "_end": F.lead("phase").over(in_slot), "finished_at": F.lead("at").over(in_slot)})
+    columns = ["task_id", "kind", "seq", "name", "started_at", "finished_at", "_end"]
+    name = F.when(kind == "WAIT", F.col("_slot")).otherwise(F.lower("kind"))
+    closed = held.where(is_start & (F.col("_end").isNull() | (F.col("_end") != "START")))
+    closed = closed.select("task_id", "kind", "seq", name.alias("name"), F.col("at").alias("started_at"), "finished_at", "_end")
+    loose = held.where((kind == "SLEEP") & ~is_start & (F.col("_before").isNull() | (F.col("_before") != "START")))
+    line = rows.where(F.col("_slot").isNull() & kind.isin("SLEEP", "CONDITION")).unionByName(loose.select(*rows.columns))
+    # open starts are the running sum of starts less ends, less what it fell below zero: an end that makes a new low finds none
+    by_seq = Window.partitionBy("task_id", "kind").orderBy("seq")
+    summed = line.withColumn("_sum", F.sum(F.when(is_start, 1).otherwise(-1)).over(by_seq))
+    low = F.least(F.lit(0), F.coalesce(F.min("_sum").over(by_seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    paired = summed.withColumn("_low", low).where(is_start | (F.col("_sum") >= F.col("_low")))
+    side = Window.partitionBy("task_id", "kind", is_start).orderBy("seq")
+    numbered = paired.withColumn("_k", F.row_number().over(side))
+    of = lambda c, when: F.min(F.when(when, F.col(c)))
+    fifo = numbered.groupBy("task_id", "kind", "_k").agg(
+        of("seq", is_start).alias("seq"), F.lower("kind").alias("name"), of("at", is_start).alias("started_at"), of("at", ~is_start).alias("finished_at"), of("phase", ~is_start).alias("_end")
+    )
+    at = F.col("at")
+    points = rows.where(kind.isin(*POINTS)).select("task_id", "kind", "seq", F.coalesce("name", F.lower("kind")).alias("name"), at.alias("started_at"), at.alias("finished_at"), F.lit("END").alias("_end"))
     state = F.when(F.col("_end").isNull(), "RUNNING").when(F.col("_end") == "TIMEOUT", "TIMED_OUT").otherwise("COMPLETED")
-    return fifo.unionByName(waits).unionByName(points).select("task_id", "kind", "seq", "name", "started_at", "finished_at", state.alias("state"))
+    found = fifo.select(*columns).unionByName(closed).unionByName(points)
+    return found.select("task_id", "kind", "seq", "name", "started_at", "finished_at", state.alias("state"))
 
 
 def trace_tree(spans: DataFrame, as_of: Column) -> DataFrame:
     """Each span under its root: depth, offset from the root's start, time in all and time queued, in milliseconds.
 
-    A span lasts from being queued to its end, or until ``as_of``.
+    A span lasts from being queued to its end, or until ``as_of``. The spans are read once.
     """
-    roots = spans.where("parent_id is null").select(F.col("id").alias("root_id"), "id", F.col("queued_at").alias("_zero"))
-    top = roots.select("root_id", "id").join(spans.select("id", "parent_id", "queued_at", "started_at", "finished_at"), "id").withColumn("depth", F.lit(0))
-    below = closure(spans.select("id", "parent_id", "queued_at", "started_at", "finished_at"), roots.select("root_id", "id"))
-    rows = top.unionByName(below).join(roots.select("root_id", "_zero"), "root_id")
-    return rows.select("root_id", "id", "depth", millis_between("_zero", "queued_at").alias("start_ms"), millis_between("queued_at", F.coalesce("finished_at", as_of)).alias("duration_ms"), millis_between("queued_at", F.coalesce("started_at", as_of)).alias("queued_ms"))
+    slim = cut_lineage(spans.select("id", "parent_id", "queued_at", "started_at", "finished_at"))
+    roots = slim.where("parent_id is null")
+    below = closure(slim, roots.select(F.col("id").alias("root_id"), "id"), cut=True)
+    zero = roots.select(F.col("id").alias("root_id"), F.col("queued_at").alias("_zero"))
+    rows = below.join(zero, "root_id").unionByName(roots.withColumns({"root_id": F.col("id"), "_zero": F.col("queued_at"), "depth": F.lit(0)}))
+    return rows.select(
+        "root_id", "id", "depth", millis_between("_zero", "queued_at").alias("start_ms"),
+        millis_between("queued_at", F.coalesce("finished_at", as_of)).alias("duration_ms"), millis_between("queued_at", F.coalesce("started_at", as_of)).alias("queued_ms"),
+    )
 
 
 def with_ancestors(spans: DataFrame, match: Column) -> DataFrame:
-    """Ids that match, and all that are above them; ``matched`` tells the former."""
-    hits = spans.where(match).select("id")
-    up = spans.where("parent_id is not null").select(F.col("parent_id").alias("id"), F.col("id").alias("parent_id"))
-    above = closure(up, hits.select(F.col("id").alias("root_id"), "id")).select("id").distinct()
+    """Ids that match, and all that are above them; ``matched`` tells the former. The spans are read once."""
+    slim = cut_lineage(spans.select("id", "parent_id", F.coalesce(match, F.lit(False)).alias("_match")))
+    hits = slim.where("_match").select("id")
+    up = slim.where("parent_id is not null").select(F.col("parent_id").alias("id"), F.col("id").alias("parent_id"))
+    above = closure(up, hits.select(F.col("id").alias("root_id"), "id"), cut=True).select("id").distinct()
     return hits.withColumn("_m", F.lit(1)).unionByName(above.withColumn("_m", F.lit(0))).groupBy("id").agg((F.max("_m") == 1).alias("matched"))
 
 
@@ -72,6 +96,12 @@ def _contains(a: object, b: object) -> bool:
     return type(a) is type(b) and a == b or (isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool) and not isinstance(b, bool) and a == b)
 
 
+def _holds(whole: object, part: object) -> bool:
+    if isinstance(whole, list) and not isinstance(part, (list, dict)):
+        return any(_contains(x, part) for x in whole)
+    return _contains(whole, part)
+
+
 def _parsed(text: str | None) -> object:
     try:
         return json.loads(text) if text else None
@@ -81,8 +111,11 @@ def _parsed(text: str | None) -> object:
 
 @F.pandas_udf(BooleanType())
 def json_contains(whole: pd.Series, part: pd.Series) -> pd.Series:
-    """Whether a JSON value holds another: objects by key, arrays as sets; false for what is no JSON."""
-    return pd.Series([p is not None and _contains(w, p) for w, p in zip(map(_parsed, whole), map(_parsed, part))], dtype=bool)
+    """Whether a JSON value holds another: objects by key, arrays as sets; false for what is no JSON.
+
+    An array at the top also holds a bare scalar that is one of its elements.
+    """
+    return pd.Series([p is not None and _holds(w, p) for w, p in zip(map(_parsed, whole), map(_parsed, part))], dtype=bool)
 
 
 def _leaves(value: object, path: str, out: dict[str, str]) -> None:
@@ -105,38 +138,89 @@ def json_leaves(text: pd.Series) -> pd.Series:
         out: dict[str, str] = {}
         if v is not None:
             _leaves(v, "$", out)
+            for x in v if isinstance(v, list) else ():  # it holds its scalars bare, too
+                if not isinstance(x, (list, dict)):
+                    _leaves(x, "$", out)
         found.append(list(out))
     return pd.Series(found)
 
 
+def _keyed_waits(waits: DataFrame) -> DataFrame:
+    """Waits with the leaves of their predicate; one without any has the empty leaf, which every event has."""
+    found = F.array_sort(json_leaves("predicate"))
+    return waits.withColumn("_leaves", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(""))))
+
+
+def _keyed_events(events: DataFrame) -> DataFrame:
+    leaf = F.explode(F.concat(json_leaves("payload"), F.array(F.lit("")))).alias("_leaf")
+    return events.select("queue", "name", leaf, F.col("created_at").alias("_t"), F.struct(F.col("created_at").alias("t"), F.col("id").alias("e")).alias("_event"), "payload")
+
+
+def _nearest(waits: DataFrame, events: DataFrame, later: bool) -> DataFrame:
+    """(id, event): the first event at or after each wait's time, or the last one before it, of equal queue, name and leaf.
+
+    Rows meet in slices of a day, so that a key with most of the rows spreads over its days. A
+    wait that finds none in its own day takes the end of the nearest day that has some,
+    from a table of one row for each key and day.
+    """
+    keys, day = ["queue", "name", "_leaf"], F.date_trunc("day", "_t").alias("_day")
+    of_events = events.select(*keys, "_t", day, F.lit(1).alias("_o"), F.lit(None).cast("long").alias("id"), F.col("_event").cast(_EVENT).alias("_event"))
+    none = F.lit(None).cast(_EVENT)
+    asked_at = F.date_trunc("day", "created_at").alias("_day")
+    # an event at the very time of a wait is a later one: it comes after the wait in order of time
+    of_waits = waits.select(*keys, F.col("created_at").alias("_t"), asked_at, F.lit(0).alias("_o"), F.col("id").cast("long").alias("id"), none.alias("_event"))
+    tie = F.coalesce(F.col("_event.e"), F.lit(0))
+    order = [F.desc("_t"), F.desc("_o"), tie.desc()] if later else [F.asc("_t"), F.asc("_o"), tie.asc()]
+    over = Window.partitionBy(*keys, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = of_events.unionByName(of_waits).withColumn("_event", F.last("_event", ignorenulls=True).over(over)).where("id is not null")
+    pick = F.min if later else F.max
+    ends = of_events.groupBy(*keys, "_day").agg(pick("_event").alias("_end"))
+    asked = near.where("_event is null").select(*keys, "_day").distinct().withColumn("_end", none)
+    days = ends.unionByName(asked).groupBy(*keys, "_day").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    by_day = Window.partitionBy(*keys).orderBy(F.desc("_day") if later else F.asc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    other = days.withColumn("_other", F.last("_end", ignorenulls=True).over(by_day)).select(*keys, "_day", "_other")
+    far = near.where("_event is null").join(other, [*keys, "_day"]).select("id", F.col("_other").alias("event"))
+    return near.where("_event is not null").select("id", F.col("_event").alias("event")).unionByName(far).where("event is not null")
+
+
+def _nearest_match(waits: DataFrame, events: DataFrame, later: bool) -> DataFrame:
+    """(id, event): the nearest event that holds the wait's predicate, before the wait or at and after it.
+
+    A predicate of one leaf, or none, is held by what has that leaf, so ``_nearest`` finds
+    it. One of several is met on the leaf that fewest events have, then checked whole.
+    """
+    keyed = _keyed_waits(waits.select("id", "queue", "name", "predicate", "created_at"))
+    leaves = _keyed_events(events)
+    one = keyed.where(F.size("_leaves") == 1).withColumn("_leaf", F.col("_leaves")[0])
+    near = _nearest(one, leaves.drop("payload"), later)
+    several = keyed.where(F.size("_leaves") > 1).withColumn("_leaf", F.explode("_leaves"))
+    keys = ["queue", "name", "_leaf"]
+    common = leaves.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rarest = several.join(common, keys, "left").groupBy("id", "queue", "name", "predicate", "created_at")
+    rarest = rarest.agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_leaf"))["_leaf"].alias("_leaf"))
+    met = rarest.join(leaves, keys)
+    met = met.where(F.col("_t") >= F.col("created_at") if later else F.col("_t") < F.col("created_at")).where(json_contains("payload", "predicate"))
+    pick = F.min if later else F.max
+    return near.unionByName(met.groupBy(F.col("id").cast("long").alias("id")).agg(pick("_event").cast(_EVENT).alias("event")))
+
+
 def match_events(events: DataFrame, waits: DataFrame) -> DataFrame:
     """(wait_id, event_id, woken_at): the first event that wakes each waiting row, each being woken once.
 
     An event wakes a wait of its queue and name that was there before it and whose
-    predicate its payload holds. Candidates come from an equi-join on one leaf of the
-    predicate, so that unlike payloads never meet; the whole predicate is then
-    checked. A predicate without leaves takes the first event that follows, found by
-    one pass over events and waits in order of time.
+    predicate its payload holds; a null or empty predicate is held by all. Waits and
+    events meet in order of time, by one leaf of the predicate (see ``_nearest_match``).
     """
-    keyed = waits.withColumn("_leaf", F.try_element_at(F.array_sort(json_leaves("predicate")), F.lit(1)))
-    some = keyed.where("_leaf is not null").select(F.col("id").alias("wait_id"), "queue", "name", "_leaf", "predicate", F.col("created_at").alias("_since"))
-    leaves = events.select(F.col("id").alias("event_id"), "queue", "name", "payload", "created_at", F.explode(json_leaves("payload")).alias("_leaf"))
-    met = some.join(leaves, ["queue", "name", "_leaf"]).where(F.col("created_at") >= F.col("_since")).where(json_contains("payload", "predicate"))
-    by_leaf = met.groupBy("wait_id").agg(F.min(F.struct("created_at", "event_id")).alias("e"))
-    free = keyed.where("_leaf is null").select("queue", "name", F.col("created_at").alias("t"), F.lit(1).alias("o"), F.col("id").alias("wait_id"), F.lit(None).cast("struct<created_at: timestamp_ntz, event_id: bigint>").alias("e"))
-    came = events.select("queue", "name", F.col("created_at").alias("t"), F.lit(0).alias("o"), F.lit(None).cast("bigint").alias("wait_id"), F.struct("created_at", F.col("id").alias("event_id")).cast("struct<created_at: timestamp_ntz, event_id: bigint>").alias("e"))
-    back = Window.partitionBy("queue", "name").orderBy(F.desc("t"), F.asc("o"), F.desc("e.event_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_time = free.unionByName(came).withColumn("e", F.last("e", ignorenulls=True).over(back)).where("wait_id is not null and e is not null").select("wait_id", "e")
-    return by_leaf.unionByName(by_time).select("wait_id", "e.event_id", F.col("e.created_at").alias("woken_at"))
+    found = _nearest_match(waits, events, later=True)
+    return found.select(F.col("id").alias("wait_id"), F.col("event.e").alias("event_id"), F.col("event.t").alias("woken_at"))
 
 
 def await_outcome(waits: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
     """How each wait stands: EVENT at once by the latest earlier event of its name, else by a later one before its timeout, TIMED_OUT, or WAITING."""
-    earlier = waits.join(events.select("queue", "name", F.col("id").alias("_e"), F.col("created_at").alias("_t"), "payload"), ["queue", "name"], "left").where(F.col("_t").isNull() | (F.col("_t") < F.col("created_at")))
-    held = earlier.where(json_contains("payload", "predicate")).groupBy("id").agg(F.max(F.struct("_t", "_e")).alias("b"))
+    held = _nearest_match(waits, events, later=False).select("id", F.col("event.e").alias("_before"))
     later = match_events(events, waits).select(F.col("wait_id").alias("id"), "event_id", "woken_at")
     rows = waits.join(held, "id", "left").join(later, "id", "left")
     limit = F.col("timeout_at")
     in_time = F.col("woken_at").isNotNull() & (limit.isNull() | (F.col("woken_at") <= limit))
-    state = F.when(F.col("b").isNotNull() | in_time, "EVENT").when(limit <= as_of, "TIMED_OUT").otherwise("WAITING")
-    return rows.select("id", state.alias("state"), F.coalesce("b._e", F.when(in_time, F.col("event_id"))).alias("event_id"))
+    state = F.when(F.col("_before").isNotNull() | in_time, "EVENT").when(limit <= as_of, "TIMED_OUT").otherwise("WAITING")
+    return rows.select("id", state.alias("state"), F.coalesce("_before", F.when(in_time, F.col("event_id"))).alias("event_id"))

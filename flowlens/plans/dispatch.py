@@ -11,27 +11,28 @@ T, R, E = S.TASKS_SQL, f"{S.TASKS_SQL}, {S.RUNS_SQL}", S.EVENTS_SQL
 NOW = lambda: S.as_of(S.TASKS_AS_OF)
 N = f"TIMESTAMP '{S.TASKS_AS_OF}'"
 
-CAND_SQL = f"""cand AS (SELECT id, queue, state, kind, priority, fairness_key, fairness_weight, id % 9 AS worker_id, created_at + to_hours(id % 48) AS available_at,
+CAND_SQL = f"""cand AS (SELECT id, namespace_id, queue, state, CASE WHEN id % 23 = 0 THEN 'CANCELLED' ELSE 'RUNNING' END AS task_state, kind, priority, fairness_key, fairness_weight, id % 9 AS worker_id, created_at + to_hours(id % 48) AS available_at,
     CASE WHEN id % 6 = 0 THEN created_at + to_days(id % 4000) END AS deadline_at, CASE WHEN id % 5 < 3 THEN CAST(600 * (id % 50000) AS INTEGER) END AS start_timeout_s FROM tasks)"""
-PASS_SQL = "passes AS (SELECT queue, fairness_key, CAST(sum(priority) AS DOUBLE) AS pass FROM tasks WHERE state = 'COMPLETED' AND fairness_key IS NOT NULL GROUP BY 1, 2)"
-FRONT_SQL = """due AS (SELECT * FROM cand WHERE state IN ('PENDING', 'SLEEPING') AND available_at <= {N} AND (deadline_at IS NULL OR deadline_at > {N})),
-front AS (SELECT * FROM due WHERE fairness_key IS NULL UNION ALL (SELECT * FROM due WHERE fairness_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY queue, fairness_key ORDER BY priority, available_at, id) = 1))""".replace("{N}", N)
+PASS_SQL = "passes AS (SELECT namespace_id, queue, fairness_key, CAST(sum(priority) AS DOUBLE) AS pass FROM tasks WHERE state = 'COMPLETED' AND fairness_key IS NOT NULL GROUP BY 1, 2, 3)"
+FRONT_SQL = f"""due AS (SELECT * FROM cand WHERE state IN ('PENDING', 'SLEEPING') AND available_at <= {N}),
+front AS (SELECT * FROM due WHERE fairness_key IS NULL UNION ALL
+    (SELECT * FROM due WHERE fairness_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY namespace_id, queue, fairness_key ORDER BY priority, available_at, id) = 1))"""
 
 
 def candidates(spark, d):
     k = F.col("id")
     return S.tasks(spark, d).select(
-        "id", "queue", "state", "kind", "priority", "fairness_key", "fairness_weight", (k % 9).alias("worker_id"), F.timestamp_add("HOUR", (k % 48).cast("int"), F.col("created_at")).alias("available_at"),
+        "id", "namespace_id", "queue", "state", F.when(k % 23 == 0, "CANCELLED").otherwise("RUNNING").alias("task_state"), "kind", "priority", "fairness_key", "fairness_weight", (k % 9).alias("worker_id"), F.timestamp_add("HOUR", (k % 48).cast("int"), F.col("created_at")).alias("available_at"),
         F.when(k % 6 == 0, F.timestamp_add("DAY", (k % 4000).cast("int"), F.col("created_at"))).alias("deadline_at"), F.when(k % 5 < 3, (600 * (k % 50000)).cast("int")).alias("start_timeout_s"),
     )
 
 
 def passes(spark, d):
-    return S.tasks(spark, d).where("state = 'COMPLETED' and fairness_key is not null").groupBy("queue", "fairness_key").agg(F.sum("priority").cast("double").alias("pass"))
+    return S.tasks(spark, d).where("state = 'COMPLETED' and fairness_key is not null").groupBy("namespace_id", "queue", "fairness_key").agg(F.sum("priority").cast("double").alias("pass"))
 
 
 def _due(spark, d):
-    return candidates(spark, d).where(F.col("state").isin("PENDING", "SLEEPING") & (F.col("available_at") <= NOW()) & (F.col("deadline_at").isNull() | (F.col("deadline_at") > NOW())))
+    return candidates(spark, d).where(F.col("state").isin("PENDING", "SLEEPING") & (F.col("available_at") <= NOW()))
 
 
 def _requests(spark, d):
@@ -56,13 +57,26 @@ def _keyed(spark, d, incoming):
     return S.tasks(spark, d).where((k % 2 == 1) if incoming else (k % 2 == 0)).select("id", "queue", F.concat(F.lit("k"), F.floor(k / 3).cast("string")).alias("key"))
 
 
-def _sketch_pass(spark, d):
-    """Pass values after all completed tasks were served, once through the sketch; rows only, as hashes differ."""
+def _sketch(spark, d):
+    """An empty sketch, and the completed tasks that were served."""
     served = S.tasks(spark, d).where("state = 'COMPLETED'")
-    empty = served.limit(0).select("queue", F.lit(0).alias("cell"), F.lit(0.0).alias("value"))
+    return served.limit(0).select("queue", F.lit(0).alias("cell"), F.lit(0.0).alias("value")), served
+
+
+def _sketch_pass(spark, d):
+    """Pass values after all completed tasks were served, once through the sketch."""
+    empty, served = _sketch(spark, d)
     return D.fairness_pass(D.fairness_advance(empty, served), served)
 
 
+def _continued(spark, d):
+    """Tasks, a twelfth of them continued as new after they were created long before they ended."""
+    some = (F.col("state") == "COMPLETED") & (F.col("id") % 12 == 6)
+    tasks = S.tasks(spark, d).withColumn("state", F.when(some, "CONTINUED_AS_NEW").otherwise(F.col("state")))
+    late = F.timestamp_add("DAY", (F.col("id") % 700).cast("int"), F.col("completed_at"))
+    return tasks.withColumn("completed_at", F.when(F.col("state") == "CONTINUED_AS_NEW", late).otherwise(F.col("completed_at")))
+
+
 def _below(condition: str) -> str:
     return f"""WITH RECURSIVE {T}, below(root_id, id, depth, follow) AS (
     SELECT t.id, t.id, 0, true FROM tasks t WHERE {condition} UNION ALL
@@ -72,14 +86,36 @@ def _below(condition: str) -> str:
 _ALL_BELOW = f"""WITH RECURSIVE {T}, below(id, depth) AS (SELECT id, 0 FROM tasks WHERE id = 3 UNION ALL SELECT t.id, b.depth + 1 FROM below b JOIN tasks t ON t.parent_id = b.id),
 d AS (SELECT t.id, t.state, t.created_at, b.depth FROM below b JOIN tasks t USING (id) WHERE b.depth > 0)"""
 
+def _plans(spark, d, where, k):
+    """Schedules to be merged: a next time, and an end for some."""
+    days = lambda n: F.timestamp_add("DAY", n, F.col("created_at"))
+    ends = F.when((F.col("id") + k) % 5 < 3, days(F.lit(60 + k)))
+    return S.tasks(spark, d).where(where).select("id", days(((F.col("id") * 7 + k) % 30).cast("int")).alias("next_run_at"), ends.alias("ends_at"))
+
+
 QUERIES = {
     "claim": (
         lambda s, d: D.claim(candidates(s, d), passes(s, d), NOW(), worker_id=3, limit=100).select("pos", "id", "queue", "priority", "pass"),
         f"""WITH {T}, {CAND_SQL}, {PASS_SQL}, {FRONT_SQL} SELECT row_number() OVER (ORDER BY priority, coalesce(pass, 0), CASE WHEN worker_id = 3 THEN 0 ELSE 1 END, available_at, id) AS pos, id, queue, priority, coalesce(pass, 0) AS pass
-        FROM front LEFT JOIN passes USING (queue, fairness_key) QUALIFY pos <= 100""",
+        FROM front LEFT JOIN passes USING (namespace_id, queue, fairness_key)
+        WHERE (deadline_at IS NULL OR deadline_at > {N}) AND task_state NOT IN ('CANCELLED', 'FAILED', 'COMPLETED') QUALIFY pos <= 100""",
     ),
     "claim_frontier": (lambda s, d: D.frontier(_due(s, d)).select("id", "queue", "fairness_key"), f"WITH {T}, {CAND_SQL}, {FRONT_SQL} SELECT id, queue, fairness_key FROM front"),
-    "fairness_pass": (_sketch_pass, None),
+    "fairness_pass": (
+        lambda s, d: _sketch_pass(s, d).withColumn("pass", F.round("pass", 6)),
+        f"""WITH {T}, v AS (SELECT queue, fairness_key, fairness_weight FROM tasks WHERE state = 'COMPLETED' AND fairness_key IS NOT NULL),
+        c AS (SELECT v.*, r * 1024 + CAST('0x' || left(md5(r || ':' || fairness_key), 8) AS BIGINT) % 1024 AS cell FROM v, unnest([0, 1, 2, 3]) AS t(r)),
+        s AS (SELECT queue, cell, sum(1000 / greatest(fairness_weight, 0.001)) AS value FROM c GROUP BY 1, 2)
+        SELECT queue, fairness_key, round(min(value), 6) AS pass FROM (SELECT DISTINCT queue, fairness_key, cell FROM c) JOIN s USING (queue, cell) GROUP BY 1, 2""",
+    ),
+    "fairness_advance": (
+        lambda s, d: D.fairness_advance(*_sketch(s, d), most=20_000.0).withColumn("value", F.round("value", 6)),
+        f"""WITH {T}, v AS (SELECT queue, fairness_key, fairness_weight FROM tasks WHERE state = 'COMPLETED' AND fairness_key IS NOT NULL),
+        c AS (SELECT v.*, r * 1024 + CAST('0x' || left(md5(r || ':' || fairness_key), 8) AS BIGINT) % 1024 AS cell FROM v, unnest([0, 1, 2, 3]) AS t(r)),
+        s AS (SELECT queue, CAST(cell AS INTEGER) AS cell, sum(1000 / greatest(fairness_weight, 0.001)) AS value FROM c GROUP BY 1, 2),
+        o AS (SELECT queue, max(value) AS top, min(value) FILTER (value > 0) AS low FROM s GROUP BY 1)
+        SELECT queue, cell, round(CASE WHEN top > 20000 THEN greatest(value - low, 0) ELSE value END, 6) AS value FROM s JOIN o USING (queue)""",
+    ),
     "rate_limit_slots": (
         lambda s, d: D.rate_limit_slots(_requests(s, d), _cursors(s, d), NOW()),
         f"""WITH {T}, q AS (SELECT queue, 's' || (id % 4) AS slot_key, id AS run_id, 1000 + 500 * (id % 4) AS interval_ms, {N} + to_seconds(id % 7200) AS available_at,
@@ -124,9 +160,25 @@ QUERIES = {
         SELECT id, attempt, decision, CASE WHEN decision = 'RETRY' THEN delay END AS delay_s, CASE WHEN decision = 'RETRY' THEN {N} + to_seconds(delay) END AS available_at FROM w""",
     ),
     "prune_tasks": (
-        lambda s, d: D.prunable_tasks(S.tasks(s, d), NOW(), days=365),
-        f"""WITH {T}, e AS (SELECT *, CASE state WHEN 'COMPLETED' THEN completed_at WHEN 'CANCELLED' THEN cancelled_at ELSE created_at END AS ended_at FROM tasks WHERE state IN ('COMPLETED', 'FAILED', 'CANCELLED'))
-        SELECT id, state, ended_at FROM e WHERE ended_at < {N} - INTERVAL 365 DAY AND NOT EXISTS (SELECT 1 FROM tasks p WHERE p.id = e.parent_id AND p.state IN ('PENDING', 'RUNNING', 'SLEEPING', 'WAITING'))""",
+        lambda s, d: D.prunable_tasks(_continued(s, d), NOW(), days=365),
+        f"""WITH {T}, t AS (SELECT * REPLACE (CASE WHEN state = 'COMPLETED' AND id % 12 = 6 THEN 'CONTINUED_AS_NEW' ELSE state END AS state,
+            CASE WHEN state = 'COMPLETED' AND id % 12 = 6 THEN completed_at + to_days(CAST(id % 700 AS INTEGER)) ELSE completed_at END AS completed_at) FROM tasks),
+        e AS (SELECT *, CASE state WHEN 'FAILED' THEN created_at WHEN 'CANCELLED' THEN cancelled_at ELSE completed_at END AS ended_at FROM t WHERE state IN ('COMPLETED', 'FAILED', 'CANCELLED', 'CONTINUED_AS_NEW'))
+        SELECT id, state, ended_at FROM e WHERE ended_at < {N} - INTERVAL 365 DAY AND NOT EXISTS (SELECT 1 FROM t p WHERE p.id = e.parent_id AND p.state IN ('PENDING', 'RUNNING', 'SLEEPING', 'WAITING'))""",
+    ),
+    "merge_schedules": (
+        lambda s, d: D.merge_schedules(_plans(s, d, "id % 3 <> 0", 5), _plans(s, d, "id % 4 <> 0", 0)),
+        f"""WITH {T}, s AS (SELECT id, created_at + to_days(CAST((id * 7 + k) % 30 AS INTEGER)) AS next_run_at, CASE WHEN (id + k) % 5 < 3 THEN created_at + to_days(60 + k) END AS ends_at, k FROM tasks, unnest([5, 0]) AS t(k)),
+        o AS (SELECT * FROM s WHERE k = 5 AND id % 3 <> 0), n AS (SELECT * FROM s WHERE k = 0 AND id % 4 <> 0)
+        SELECT coalesce(o.id, n.id) AS id, least(o.next_run_at, n.next_run_at) AS next_run_at, coalesce(n.ends_at, o.ends_at) AS ends_at FROM o FULL JOIN n ON o.id = n.id""",
+    ),
+    "namespaces_retention": (
+        lambda s, d: D.namespaces_retention(S.queues(s, d).select("namespace_id", (F.length("queue") * 3).alias("retention_days"))),
+        "SELECT min(length(n_name) * 3)::INTEGER AS retention_days FROM nation",
+    ),
+    "expired_months": (
+        lambda s, d: D.expired_months(S.tasks(s, d).select(F.date_format("created_at", "yyyyMM").alias("month")).distinct(), NOW(), 12),
+        f"WITH {T} SELECT DISTINCT strftime(created_at, '%Y%m') AS month FROM tasks WHERE date_trunc('month', created_at) < date_trunc('month', {N}) - INTERVAL 12 MONTH",
     ),
     "prune_events": (
         lambda s, d: D.prunable_events(S.events(s, d), S.as_of(S.EVENTS_AS_OF), days=20, limit=500).select("pos", "id"),
@@ -134,7 +186,7 @@ QUERIES = {
     ),
     "orphan_rows": (
         lambda s, d: D.orphan_rows(passes(s, d), S.queues(s, d).where("namespace_id <> 'ASIA'")),
-        f"WITH {T}, {PASS_SQL} SELECT queue, fairness_key, pass FROM passes WHERE queue NOT IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA')",
+        f"WITH {T}, {PASS_SQL} SELECT namespace_id, queue, fairness_key, pass FROM passes WHERE queue NOT IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA')",
     ),
     "enqueue_dedup": (
         lambda s, d: D.enqueue_dedup(_keyed(s, d, False), _keyed(s, d, True)),

@@ -20,7 +20,14 @@ def _markers(spark, d):
 
 def _workers(spark, d):
     k = F.col("s_suppkey")
-    return S.table(spark, d, "supplier").select(k.alias("worker_id"), (4 + k % 5).cast("int").alias("concurrency"), F.timestamp_add("SECOND", (-(k % 90)).cast("int"), NOW()).alias("updated_at"))
+    named = F.explode(F.array(F.lit("ASIA"), F.lit("EUROPE"))).alias("namespace_id")
+    seen = F.timestamp_add("SECOND", (-(k % 90)).cast("int"), NOW()).alias("updated_at")
+    return S.table(spark, d, "supplier").select(named, k.alias("worker_id"), (4 + k % 5).cast("int").alias("concurrency"), seen)
+
+
+def _worker_runs(spark, d):
+    cancelled = (F.col("state") == "FAILED") & (F.col("task_id") % 4 == 1)
+    return S.runs(spark, d).withColumn("state", F.when(cancelled, "CANCELLED").otherwise(F.col("state")))
 
 
 def _backfills(spark, d):
@@ -57,12 +64,15 @@ QUERIES = {
         f"WITH {T} SELECT date_trunc('day', created_at)::TIMESTAMP AS day, count(*) AS total, count(*) FILTER (state = 'FAILED') AS failed FROM tasks WHERE name = '1-URGENT' AND parent_id IS NULL AND created_at >= {N} - INTERVAL 60 DAY GROUP BY 1",
     ),
     "workers": (
-        lambda s, d: M.worker_activity(_workers(s, d), S.runs(s, d), NOW(), minutes=60 * MONTH),
-        f"""WITH {R}, w AS (SELECT s_suppkey AS worker_id, CAST(4 + s_suppkey % 5 AS INTEGER) AS concurrency, {N} - to_seconds(s_suppkey % 90) AS updated_at FROM supplier),
-        a AS (SELECT worker_id, count(*) FILTER (state = 'RUNNING') AS running, count(*) FILTER (state = 'COMPLETED') AS completed, count(*) FILTER (state = 'FAILED') AS failed, max(lease_expires_at) AS lease
-            FROM runs WHERE state = 'RUNNING' OR (state IN ('COMPLETED', 'FAILED') AND finished_at >= {N} - INTERVAL 30 DAY) GROUP BY 1)
-        SELECT worker_id, concurrency, coalesce(running, 0) AS running, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed, coalesce(lease > {N}, false) OR updated_at > {N} - INTERVAL 30 SECOND AS healthy
-        FROM w LEFT JOIN a USING (worker_id)""",
+        lambda s, d: M.worker_activity(_workers(s, d), _worker_runs(s, d), NOW(), minutes=60 * MONTH),
+        f"""WITH {R}, r AS (SELECT * REPLACE (CASE WHEN state = 'FAILED' AND task_id % 4 = 1 THEN 'CANCELLED' ELSE state END AS state) FROM runs),
+        w AS (SELECT ns AS namespace_id, s_suppkey AS worker_id, CAST(4 + s_suppkey % 5 AS INTEGER) AS concurrency, {N} - to_seconds(s_suppkey % 90) AS updated_at FROM supplier, unnest(['ASIA', 'EUROPE']) AS t(ns)),
+        a AS (SELECT namespace_id, worker_id, count(*) FILTER (state = 'RUNNING') AS running, count(*) FILTER (state = 'COMPLETED') AS completed, count(*) FILTER (state = 'FAILED') AS failed,
+            count(*) FILTER (state = 'CANCELLED') AS cancelled, max(lease_expires_at) FILTER (state = 'RUNNING') AS lease
+            FROM r WHERE state = 'RUNNING' OR finished_at > {N} - INTERVAL {60 * MONTH} MINUTE GROUP BY 1, 2)
+        SELECT namespace_id, worker_id, concurrency, coalesce(running, 0) AS running, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed, coalesce(cancelled, 0) AS cancelled,
+            coalesce(lease > {N}, false) OR updated_at > {N} - INTERVAL 30 SECOND AS healthy
+        FROM w LEFT JOIN a USING (namespace_id, worker_id)""",
     ),
     "latency_percentiles": (
         lambda s, d: M.latency_percentiles(S.runs(s, d), NOW(), hours=YEAR * 3).withColumns({c: F.round(c, 3) for c in ("p50_ms", "p95_ms", "p99_ms")}),

@@ -13,17 +13,32 @@ T, R, E = S.TASKS_SQL, f"{S.TASKS_SQL}, {S.RUNS_SQL}", S.EVENTS_SQL
 NOW = lambda: S.as_of(S.TASKS_AS_OF)
 N = f"TIMESTAMP '{S.TASKS_AS_OF}'"
 
-HISTORY_SQL = """h AS (SELECT task_id, attempt * 2 AS seq, CASE task_id % 4 WHEN 0 THEN 'SLEEP' WHEN 1 THEN 'WAIT' WHEN 2 THEN 'CONDITION' ELSE 'SIGNAL' END AS kind, CASE WHEN task_id % 4 = 3 THEN 'POINT' ELSE 'START' END AS phase, 'n' || (worker_id % 2) AS name, started_at AS ts FROM runs
-    UNION ALL SELECT task_id, attempt * 2 + 3, CASE task_id % 4 WHEN 0 THEN 'SLEEP' WHEN 1 THEN 'WAIT' ELSE 'CONDITION' END, CASE state WHEN 'FAILED' THEN 'TIMEOUT' ELSE 'END' END, 'n' || (worker_id % 2), finished_at FROM runs WHERE finished_at IS NOT NULL AND task_id % 4 <> 3)"""
+_TIMER = "CASE WHEN task_id % 8 = 0 THEN attempt {0} END"
+HISTORY_SQL = f"""h AS (SELECT task_id, attempt * 2 AS seq, CASE task_id % 4 WHEN 0 THEN 'SLEEP' WHEN 1 THEN 'WAIT' WHEN 2 THEN 'CONDITION' ELSE 'SIGNAL' END AS kind, CASE WHEN task_id % 4 = 3 THEN 'POINT' ELSE 'START' END AS phase, 'n' || (worker_id % 2) AS name, started_at AS ts, {_TIMER.format("")} AS timer_seq FROM runs
+    UNION ALL SELECT task_id, attempt * 2 + 3, CASE task_id % 4 WHEN 0 THEN 'SLEEP' WHEN 1 THEN 'WAIT' ELSE 'CONDITION' END, CASE state WHEN 'FAILED' THEN 'TIMEOUT' ELSE 'END' END, 'n' || (worker_id % 2), finished_at, {_TIMER.format("- task_id // 8 % 3")} FROM runs WHERE finished_at IS NOT NULL AND task_id % 4 <> 3
+    UNION ALL SELECT task_id, 1, CASE task_id % 4 WHEN 0 THEN 'SLEEP' ELSE 'CONDITION' END, 'END', 'n0', finished_at, NULL FROM runs WHERE attempt = 1 AND task_id % 4 IN (0, 2) AND task_id % 5 = 0
+    UNION ALL SELECT task_id, 0, 'SLEEP', 'START', 'n0', started_at, NULL FROM runs WHERE attempt = 1 AND task_id % 8 = 0 AND task_id % 3 = 0),
+s AS (SELECT *, lag(phase) OVER w AS p, lead(phase) OVER w AS e, lead(ts) OVER w AS finished_at FROM (SELECT *, CASE WHEN kind = 'WAIT' THEN name WHEN kind = 'SLEEP' THEN CAST(timer_seq AS VARCHAR) END AS slot FROM h) WHERE slot IS NOT NULL WINDOW w AS (PARTITION BY task_id, kind, slot ORDER BY seq)),
+q AS (SELECT task_id, kind, seq, phase, ts FROM h WHERE kind = 'CONDITION' OR kind = 'SLEEP' AND timer_seq IS NULL UNION ALL SELECT task_id, kind, seq, phase, ts FROM s WHERE kind = 'SLEEP' AND phase <> 'START' AND p IS DISTINCT FROM 'START'),
+b AS (SELECT *, sum(CASE WHEN phase = 'START' THEN 1 ELSE -1 END) OVER (PARTITION BY task_id, kind ORDER BY seq) AS b FROM q),
+o AS (SELECT *, phase = 'START' OR b >= least(0, coalesce(min(b) OVER (PARTITION BY task_id, kind ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS ok FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY task_id, kind, phase = 'START' ORDER BY seq) AS k FROM o WHERE ok),
+f AS (SELECT task_id, kind, min(seq) FILTER (phase = 'START') AS seq, lower(kind) AS name, min(ts) FILTER (phase = 'START') AS started_at, min(ts) FILTER (phase <> 'START') AS finished_at, min(phase) FILTER (phase <> 'START') AS e FROM k GROUP BY task_id, kind, k)"""
 
 
 def history(spark, d):
-    r, k = S.runs(spark, d), F.col("task_id") % 4
+    """Starts and ends of runs; some ends come before all starts, some carry the number of another timer."""
+    r, k, t = S.runs(spark, d), F.col("task_id") % 4, F.col("task_id")
     name = F.concat(F.lit("n"), (F.col("worker_id") % 2).cast("string")).alias("name")
     kind = F.when(k == 0, "SLEEP").when(k == 1, "WAIT").when(k == 2, "CONDITION").otherwise("SIGNAL").alias("kind")
-    begin = r.select("task_id", (F.col("attempt") * 2).alias("seq"), kind, F.when(k == 3, "POINT").otherwise("START").alias("phase"), name, F.col("started_at").alias("at"))
-    end = r.where("finished_at is not null and task_id % 4 <> 3").select("task_id", (F.col("attempt") * 2 + 3).alias("seq"), kind, F.when(F.col("state") == "FAILED", "TIMEOUT").otherwise("END").alias("phase"), name, F.col("finished_at").alias("at"))
-    return begin.unionByName(end)
+    timer = lambda n: F.when(t % 8 == 0, F.col("attempt") - n).alias("timer_seq")
+    begin = r.select("task_id", (F.col("attempt") * 2).alias("seq"), kind, F.when(k == 3, "POINT").otherwise("START").alias("phase"), name, F.col("started_at").alias("at"), timer(F.lit(0)))
+    phase = F.when(F.col("state") == "FAILED", "TIMEOUT").otherwise("END").alias("phase")
+    end = r.where("finished_at is not null and task_id % 4 <> 3").select("task_id", (F.col("attempt") * 2 + 3).alias("seq"), kind, phase, name, F.col("finished_at").alias("at"), timer(F.floor(t / 8) % 3))
+    first, none = r.where("attempt = 1"), F.lit(None).cast("long").alias("timer_seq")
+    early = first.where("task_id % 4 in (0, 2) and task_id % 5 = 0").select("task_id", F.lit(1).cast("long").alias("seq"), kind, F.lit("END").alias("phase"), F.lit("n0").alias("name"), F.col("finished_at").alias("at"), none)
+    plain = first.where("task_id % 8 = 0 and task_id % 3 = 0").select("task_id", F.lit(0).cast("long").alias("seq"), kind, F.lit("START").alias("phase"), F.lit("n0").alias("name"), F.col("started_at").alias("at"), none)
+    return begin.unionByName(end).unionByName(early).unionByName(plain)
 
 
 def spans(spark, d):
@@ -69,12 +84,10 @@ def _durations(spark, d):
 QUERIES = {
     "history_spans": (
         lambda s, d: X.history_spans(history(s, d)),
-        f"""WITH {R}, {HISTORY_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY task_id, kind, phase = 'START' ORDER BY seq) AS k FROM h WHERE kind IN ('SLEEP', 'CONDITION')),
-        f AS (SELECT s.task_id, s.kind, s.seq, s.name, s.ts AS started_at, e.ts AS finished_at, e.phase AS e FROM k s LEFT JOIN k e ON e.phase <> 'START' AND e.task_id = s.task_id AND e.kind = s.kind AND e.k = s.k WHERE s.phase = 'START'),
-        w AS (SELECT *, lead(phase) OVER (PARTITION BY task_id, name ORDER BY seq) AS e, lead(ts) OVER (PARTITION BY task_id, name ORDER BY seq) AS finished_at FROM h WHERE kind = 'WAIT')
-        SELECT task_id, kind, seq, name, started_at, finished_at, CASE WHEN e IS NULL THEN 'RUNNING' WHEN e = 'TIMEOUT' THEN 'TIMED_OUT' ELSE 'COMPLETED' END AS state FROM f
-        UNION ALL SELECT task_id, kind, seq, name, ts, finished_at, CASE WHEN e IS NULL THEN 'RUNNING' WHEN e = 'TIMEOUT' THEN 'TIMED_OUT' ELSE 'COMPLETED' END FROM w WHERE phase = 'START' AND (e IS NULL OR e <> 'START')
-        UNION ALL SELECT task_id, kind, seq, name, ts, ts, 'COMPLETED' FROM h WHERE kind = 'SIGNAL'""",
+        f"""WITH {R}, {HISTORY_SQL}, a AS (SELECT task_id, kind, seq, name, started_at, finished_at, e FROM f
+            UNION ALL SELECT task_id, kind, seq, CASE WHEN kind = 'WAIT' THEN slot ELSE lower(kind) END, ts, finished_at, e FROM s WHERE phase = 'START' AND (e IS NULL OR e <> 'START')
+            UNION ALL SELECT task_id, kind, seq, name, ts, ts, 'END' FROM h WHERE kind = 'SIGNAL')
+        SELECT task_id, kind, seq, name, started_at, finished_at, CASE WHEN e IS NULL THEN 'RUNNING' WHEN e = 'TIMEOUT' THEN 'TIMED_OUT' ELSE 'COMPLETED' END AS state FROM a""",
     ),
     "trace_tree": (
         lambda s, d: X.trace_tree(spans(s, d), NOW()),
