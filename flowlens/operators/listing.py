@@ -123,3 +123,74 @@ def completed_children(tasks: DataFrame, runs: DataFrame, parent_id: int) -> Dat
 def next_seq(history: DataFrame) -> DataFrame:
     """The next number of each task's history."""
     return history.groupBy("task_id").agg((F.max("seq") + 1).alias("next_seq"))
+
+
+def lookup(df: DataFrame, id: int, namespace_id: str | None = None, key: str = "id") -> DataFrame:
+    """The row of an id, in a namespace if one is named; the filter reaches the scan."""
+    return filtered(df, **{key: id, "namespace_id": namespace_id})
+
+
+def workflow_by_key(tasks: DataFrame, runs: DataFrame, queue: str, key: str, namespace_id: str | None = None) -> DataFrame:
+    """The task that an idempotency key names in a queue, with its last attempt; none if it has no run."""
+    task = filtered(tasks, namespace_id=namespace_id, queue=queue, key=key).select(F.col("id").alias("task_id"))
+    return ranked(runs.select("task_id", "attempt").join(F.broadcast(task), "task_id"), 1, F.desc("attempt"), F.desc("task_id")).drop("pos")
+
+
+def list_history(history: DataFrame, task_id: int, kinds: tuple[str, ...]) -> DataFrame:
+    """A task's history in order, without kinds that are not known."""
+    rows = history.where((F.col("task_id") == task_id) & F.col("kind").isin(*kinds))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("task_id").orderBy("seq")).cast("long"))
+
+
+def list_checkpoints(checkpoints: DataFrame, task_id: int, attempt: int) -> DataFrame:
+    """A run's checkpoints in order of time."""
+    rows = checkpoints.where((F.col("task_id") == task_id) & (F.col("attempt") == attempt))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("task_id").orderBy("written_at", "seq")).cast("long"))
+
+
+def backfills_running(backfills: DataFrame, namespace_id: str | None = None, limit: int = 50) -> DataFrame:
+    """Running backfills, oldest first."""
+    return ranked(filtered(backfills, namespace_id=namespace_id, status="RUNNING"), limit, F.asc("created_at"), F.asc("id"))
+
+
+def backfills_for_queue(backfills: DataFrame, queue: str, name: str, namespace_id: str | None = None, limit: int = 20) -> DataFrame:
+    """A task's backfills in a queue, newest first."""
+    return ranked(filtered(backfills, namespace_id=namespace_id, queue=queue, name=name), limit, F.desc("created_at"), F.desc("id"))
+
+
+def busiest(timings: DataFrame, seconds: float, limit: int = 20) -> DataFrame:
+    """The ``limit`` names with the most timings (name, n), and their rate."""
+    return ranked(timings, limit, F.desc("n"), F.asc("name")).withColumn("rate", F.col("n") / F.lit(float(seconds)))
+
+
+def state_totals(counts: DataFrame, states: tuple[str, ...]) -> DataFrame:
+    """Counts of each state over all queues."""
+    return counts.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in states])
+
+
+def children_by_outcome(tasks: DataFrame) -> DataFrame:
+    """Each parent's completed and failed children, as sorted lists: a parent's children are few."""
+    pick = lambda state: F.sort_array(F.collect_list(F.when(F.col("state") == state, F.col("id"))))
+    rows = tasks.where(F.col("parent_id").isNotNull())
+    return rows.groupBy("parent_id").agg(pick("COMPLETED").alias("completed"), pick("FAILED").alias("failed"))
+
+
+def with_ordinality(df: DataFrame, array: str, name: str, number: str = "n") -> DataFrame:
+    """A row for each element of an array column, numbered from 1; rows with none, or null, give none."""
+    others = [c for c in df.columns if c != array]
+    rows = df.select(*others, F.posexplode(array).alias("_at", name))
+    return rows.select(*others, name, (F.col("_at") + 1).cast("long").alias(number))
+
+
+def unsatisfied_waits(waits: DataFrame, received: DataFrame) -> DataFrame:
+    """Waits that are left after those whose task has received the event were dropped."""
+    return waits.join(received.select("task_id", "name").distinct(), ["task_id", "name"], "left_anti")
+
+
+def predicate(path: str, value: Column) -> Column:
+    """The JSON object that holds ``value`` at a dotted path: a predicate of one leaf."""
+    names = path.split(".")
+    shown = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    json_value = F.regexp_extract(shown, r'(?s)^\{"v":(.*)\}$', 1)
+    quoted = [n.replace("\\", "\\\\").replace('"', '\\"') for n in names]
+    return F.concat(F.lit("".join(f'{{"{n}":' for n in quoted)), json_value, F.lit("}" * len(names)))

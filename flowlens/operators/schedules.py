@@ -3,12 +3,14 @@
 A schedule is a row; its times are rows too. Cron fields are read once, on the
 driver, into sets of numbers, and slots are found by filtering days, hours and
 minutes, so that a schedule costs what its slots do, not what its minutes do.
-Times are wall-clock times of the schedule's zone unless a function says otherwise;
-in UTC both are the same.
+Functions with a ``zone`` take and give UTC times and reckon by that zone's clock, so
+that days keep their length in local time over changes of summer time. A local time
+that such a change skips is as much later; one that comes twice is the first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -98,49 +100,147 @@ def cron_next(times: DataFrame, at: str, c: Cron, years: int = 1) -> DataFrame:
     return rows.withColumn("next", nxt).select(*times.columns, "next")
 
 
-def interval_next(after: Column, seconds: int, offset: int = 0) -> Column:
-    """Epoch seconds of an interval schedule's next time after ``after`` (epoch seconds, UTC).
+def to_local(at: Column, zone: str) -> Column:
+    return at.cast("timestamp_ntz") if zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(zone), at.cast("timestamp_ntz"))
 
-    An hour goes to the next full hour, whole days to the start of the day so many
-    days on; in both, the offset is added behind that. Other lengths follow a grid of
-    their own from the epoch, which the offset shifts.
+
+def to_utc(local: Column, zone: str) -> Column:
+    return local.cast("timestamp_ntz") if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), local.cast("timestamp_ntz"))
+
+
+def _epoch(at: Column) -> Column:
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at)
+
+
+def _from_epoch(seconds: Column) -> Column:
+    return F.timestamp_add("SECOND", seconds, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def interval_next(after: Column, seconds: int, offset: int = 0, zone: str = "UTC") -> Column:
+    """Epoch seconds of an interval schedule's next time after ``after`` (epoch seconds).
+
+    An hour goes to the zone's next full hour, whole days to the start of its day so
+    many days on; in both, the offset is added behind that. Other lengths follow a
+    grid from the epoch in local seconds, which the offset shifts.
     """
     after = after.cast("long")
+    local = to_local(_from_epoch(after), zone)
+    ahead = F.lit(0).cast("long") if zone == "UTC" else _epoch(local) - after
     if seconds == 3600:
-        return (F.floor(after / 3600) + 1) * 3600 + offset
+        return (F.floor((after + ahead) / 3600) + 1) * 3600 - ahead + offset
     if seconds % 86400 == 0:
-        return F.floor(after / 86400) * 86400 + seconds + offset
-    return (F.floor((after - offset) / seconds) + 1) * seconds + offset
+        day = F.timestamp_add("DAY", F.lit(seconds // 86400), F.date_trunc("day", local).cast("timestamp_ntz"))
+        return _epoch(to_utc(day, zone)) + offset
+    return (F.floor((after + ahead - offset) / seconds) + 1) * seconds + offset - ahead
+
+
+def _clock(day: Column, hour: int, minute: int, zone: str) -> Column:
+    return to_utc(F.timestamp_add("MINUTE", F.lit(hour * 60 + minute), day.cast("timestamp_ntz")), zone)
 
 
-def calendar_next(kind: str, after: Column, hour: int = 0, minute: int = 0, weekday: int = 0, day: int = 1, month: int = 1) -> Column:
-    """The next daily, weekly, monthly or yearly wall-clock time after ``after``; weekday 0 is Sunday.
+def calendar_next(kind: str, after: Column, hour: int = 0, minute: int = 0, weekday: int = 0, day: int = 1, month: int = 1, zone: str = "UTC") -> Column:
+    """The next daily, weekly, monthly or yearly time by the zone's clock after ``after``; weekday 0 is Sunday.
 
     A day that a month lacks is its last one.
     """
-    at = F.timestamp_add("MINUTE", F.lit(hour * 60 + minute), F.date_trunc("day", after).cast("timestamp_ntz"))
+    local = to_local(after, zone)
+    at = lambda d: _clock(d, hour, minute, zone)
 
     def on(first: Column, months: int) -> Column:
         start = F.add_months(first, months)
-        return F.timestamp_add("MINUTE", F.lit(hour * 60 + minute), F.least(F.date_add(start, day - 1), F.last_day(start)).cast("timestamp_ntz"))
+        return at(F.least(F.date_add(start, day - 1), F.last_day(start)))
 
     def pick(now: Column, then: Column) -> Column:
         return F.when(now > after, now).otherwise(then)
 
+    today = F.to_date(local)
     if kind == "daily":
-        return pick(at, F.timestamp_add("DAY", F.lit(1), at))
+        return pick(at(today), at(F.date_add(today, 1)))
     if kind == "weekly":
-        to = F.timestamp_add("DAY", F.pmod(F.lit(weekday) - (F.dayofweek(after) - 1), F.lit(7)), at)
-        return pick(to, F.timestamp_add("DAY", F.lit(7), to))
+        to = F.date_add(today, F.pmod(F.lit(weekday) - (F.dayofweek(local) - 1), F.lit(7)))
+        return pick(at(to), at(F.date_add(to, 7)))
     if kind == "monthly":
-        first = F.trunc(after, "month")
+        first = F.trunc(local, "month")
         return pick(on(first, 0), on(first, 1))
     if kind == "yearly":
-        first = F.make_date(F.year(after), F.lit(month), F.lit(1))
+        first = F.make_date(F.year(local), F.lit(month), F.lit(1))
         return pick(on(first, 0), on(first, 12))
     raise ValueError(kind)
 
 
+def scheduled_time(kind: str, at: Column, hour: int = 0, minute: int = 0, weekday: int = 0, day: int = 1, month: int = 1, seconds: int = 0, date: Column | None = None, zone: str = "UTC") -> Column:
+    """The time that a run at ``at`` was scheduled for: the last one that is not after it.
+
+    Daily, weekly, monthly and yearly ones follow the zone's clock, intervals a grid
+    from the epoch; a single one is null before its ``date``. A weekly one looks six
+    days back, so it is null on its own weekday before its hour. A day that a month
+    lacks runs on into the next.
+    """
+    if kind == "interval":
+        return _from_epoch(F.floor(_epoch(at) / seconds) * seconds)
+    if kind == "once":
+        return F.when(date <= at, date)
+    local = to_local(at, zone)
+    today, clock = F.to_date(local), lambda d: _clock(d, hour, minute, zone)
+    not_after = lambda now, then: F.when(now <= at, now).otherwise(then)
+    if kind == "daily":
+        return not_after(clock(today), clock(F.date_sub(today, 1)))
+    if kind == "weekly":
+        found = clock(F.date_sub(today, F.pmod((F.dayofweek(local) - 1) - F.lit(weekday), F.lit(7))))
+        return F.when(found <= at, found)
+    if kind == "monthly":
+        first = F.trunc(local, "month")
+        return not_after(clock(F.date_add(first, day - 1)), clock(F.date_add(F.add_months(first, -1), day - 1)))
+    if kind == "yearly":
+        first = F.make_date(F.year(local), F.lit(month), F.lit(1))
+        this, last = (clock(F.date_add(F.add_months(first, -12 * k), day - 1)) for k in (0, 1))
+        return not_after(this, F.when(last <= at, last))
+    raise ValueError(kind)
+
+
+def cron_prev(times: DataFrame, at: str, c: Cron, days: int = 366) -> DataFrame:
+    """``times`` with ``prev``, the last fitting time before ``at``, null if none comes within ``days`` back.
+
+    As in ``cron_next``, only days are joined; the time within a day is a lookup.
+    """
+    minutes = [h * 60 + m for h in c.hours for m in c.minutes]
+    exact = F.date_trunc("minute", at).cast("timestamp_ntz") == F.col(at)
+    minute = F.hour(at) * 60 + F.minute(at) + F.when(exact, 0).otherwise(1)  # the first minute that is not before
+    bounds = times.agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    calendar = bounds.where("lo is not null").select(F.explode(F.sequence(F.date_sub(F.to_date("lo"), days), F.to_date("hi"))).alias("d")).withColumn("fits", day_matches(c, F.col("d")))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    calendar = calendar.select("d", "fits", F.last(F.when(F.col("fits"), F.col("d")), ignorenulls=True).over(earlier).alias("before"))
+    rows = times.withColumns({"_d": F.to_date(at), "_m": minute}).join(F.broadcast(calendar), F.col("_d") == F.col("d"), "left")
+    today = F.when(F.col("fits"), F.try_element_at(F.filter(F.array(*map(F.lit, minutes)), lambda m: m < F.col("_m")), F.lit(-1)))
+    at_day = lambda d, m: F.timestamp_add("MINUTE", m, d.cast("timestamp_ntz"))
+    found = F.coalesce(at_day(F.col("_d"), today), at_day(F.col("before"), F.lit(minutes[-1])))
+    within = F.when(found >= F.timestamp_add("DAY", F.lit(-days), F.col(at)), found)
+    return rows.withColumn("prev", within).select(*times.columns, "prev")
+
+
+def cron_scheduled(times: DataFrame, at: str, c: Cron) -> DataFrame:
+    """``times`` with ``scheduled``, the last fitting time that is not a second or more after ``at``."""
+    later = times.withColumn("_at", F.timestamp_add("SECOND", F.lit(1), F.col(at)))
+    return cron_prev(later, "_at", c).withColumnRenamed("prev", "scheduled").drop("_at")
+
+
+def cron_last(spark: SparkSession, c: Cron, before: Column, n: int) -> DataFrame:
+    """(slot): the last ``n`` fitting times of the 366 days before ``before``."""
+    return cron_slots(spark, c, F.timestamp_add("DAY", F.lit(-366), before), before, limit=366 * 1440).orderBy(F.desc("slot")).limit(n)
+
+
+def cron_following(spark: SparkSession, c: Cron, after: Column, n: int, days: int = 366) -> DataFrame:
+    """(slot): the first ``n`` fitting times after ``after``, within ``days``."""
+    low = F.timestamp_add("MICROSECOND", F.lit(1), after)
+    return cron_slots(spark, c, low, F.timestamp_add("DAY", F.lit(days), after), limit=n)
+
+
+def in_zone(times: DataFrame, at: str, zone: str, found: Callable[[DataFrame, str], DataFrame], name: str) -> DataFrame:
+    """What ``found`` adds as ``name`` to ``times``, reckoned by the zone's clock and given in UTC."""
+    local = found(times.withColumn("_local", to_local(F.col(at), zone)), "_local")
+    return local.withColumn(name, to_utc(F.col(name), zone)).drop("_local")
+
+
 def once_next(after: Column, date: Column) -> Column:
     return F.when(date > after, date)
 
@@ -156,7 +256,12 @@ def business_next(times: DataFrame, at: str, holidays: DataFrame) -> DataFrame:
 
 
 def partition_time(kind: str, at: Column, seconds: int = 0) -> Column:
-    """The start of the period that a time belongs to: day, week from Sunday, month, or an interval's step from the epoch."""
+    """The start of the period that a time belongs to: day, week from Sunday, month, or an interval's step from the epoch.
+
+    Times of cron, yearly, single and timetable schedules are their own period.
+    """
+    if kind in ("cron", "once", "yearly", "timetable"):
+        return at.cast("timestamp_ntz")
     if kind == "daily":
         return F.date_trunc("day", at).cast("timestamp_ntz")
     if kind == "weekly":

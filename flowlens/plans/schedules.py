@@ -71,7 +71,84 @@ def _epochs(spark, d):
 
 _EPOCH = "SELECT event_id, epoch_us(ts) // 1000000 AS e FROM events"
 
+NY = "America/New_York"
+
+
+def _orders(spark, d):
+    """UTC times of all hours over years with changes of summer time."""
+    return S.table(spark, d, "orders").select("o_orderkey", F.timestamp_add("MINUTE", (F.col("o_orderkey") * 7 % 1440).cast("int"), F.col("o_orderdate")).alias("at"))
+
+
+ZONED = f"""o AS (SELECT o_orderkey, o_orderdate + to_minutes(o_orderkey * 7 % 1440) AS ts FROM orders), x AS (SELECT *, (ts AT TIME ZONE 'UTC') AT TIME ZONE '{NY}' AS l FROM o)"""
+
+
+def _utc(local: str) -> str:
+    return f"(({local}) AT TIME ZONE '{NY}') AT TIME ZONE 'UTC'"
+
+
+def _zoned_intervals(spark, d):
+    rows = _orders(spark, d).select("o_orderkey", F.timestamp_diff("SECOND", ts("1970-01-01 00:00:00"), F.col("at")).alias("e"))
+    return rows.select("o_orderkey", *[C.interval_next(F.col("e"), n, o, NY).alias(f"n{n}_{o}") for n, o in ((3600, 2700), (5400, 300), (1209600, 0))])
+
+
+def _zoned_next(spark, d):
+    at = F.col("at")
+    return _orders(spark, d).select("o_orderkey", C.calendar_next("daily", at, hour=9, zone=NY).alias("d"), C.calendar_next("weekly", at, hour=8, weekday=3, zone=NY).alias("w"), C.calendar_next("monthly", at, hour=4, day=31, zone=NY).alias("m"))
+
+
+def _scheduled(spark, d):
+    at = F.col("at")
+    return _orders(spark, d).select(
+        "o_orderkey", C.scheduled_time("daily", at, hour=9, zone=NY).alias("d"), C.scheduled_time("weekly", at, hour=8, weekday=3, zone=NY).alias("w"), C.scheduled_time("monthly", at, hour=1, day=15, zone=NY).alias("m"),
+        C.scheduled_time("yearly", at, hour=12, month=6, day=2, zone=NY).alias("y"), C.scheduled_time("interval", at, seconds=5400).alias("i"), C.scheduled_time("once", at, date=ts("1998-01-01 00:00:00")).alias("o"),
+    )
+
+
 QUERIES = {
+    "interval_next_zoned": (
+        _zoned_intervals,
+        f"""WITH {ZONED}, e AS (SELECT o_orderkey, l, epoch_us(ts) // 1000000 AS e, epoch_us(l) // 1000000 - epoch_us(ts) // 1000000 AS a FROM x)
+        SELECT o_orderkey, ((e + a) // 3600 + 1) * 3600 - a + 2700 AS n3600_2700, CAST(floor((e + a - 300) / 5400) + 1 AS BIGINT) * 5400 + 300 - a AS n5400_300, epoch_us({_utc("date_trunc('day', l) + INTERVAL 14 DAY")}) // 1000000 AS n1209600_0 FROM e""",
+    ),
+    "calendar_next_zoned": (
+        _zoned_next,
+        f"""WITH {ZONED}, c AS (SELECT o_orderkey, ts, {_utc("date_trunc('day', l)::TIMESTAMP + INTERVAL 9 HOUR")} AS d0, {_utc("date_trunc('day', l)::TIMESTAMP + INTERVAL 33 HOUR")} AS d1,
+            {_utc("date_trunc('day', l)::TIMESTAMP + to_days(CAST((3 - dayofweek(l) + 7) % 7 AS INTEGER)) + INTERVAL 8 HOUR")} AS w0, {_utc("date_trunc('day', l)::TIMESTAMP + to_days(CAST((3 - dayofweek(l) + 7) % 7 AS INTEGER)) + INTERVAL 7 DAY + INTERVAL 8 HOUR")} AS w1,
+            {_utc("last_day(l)::TIMESTAMP + INTERVAL 4 HOUR")} AS m0, {_utc("last_day(date_trunc('month', l) + INTERVAL 1 MONTH)::TIMESTAMP + INTERVAL 4 HOUR")} AS m1 FROM x)
+        SELECT o_orderkey, CASE WHEN d0 > ts THEN d0 ELSE d1 END AS d, CASE WHEN w0 > ts THEN w0 ELSE w1 END AS w, CASE WHEN m0 > ts THEN m0 ELSE m1 END AS m FROM c""",
+    ),
+    "scheduled_time": (
+        _scheduled,
+        f"""WITH {ZONED}, c AS (SELECT o_orderkey, ts, {_utc("date_trunc('day', l)::TIMESTAMP + INTERVAL 9 HOUR")} AS d0, {_utc("date_trunc('day', l)::TIMESTAMP - INTERVAL 15 HOUR")} AS d1,
+            {_utc("date_trunc('day', l)::TIMESTAMP - to_days(CAST((dayofweek(l) - 3 + 7) % 7 AS INTEGER)) + INTERVAL 8 HOUR")} AS w0, {_utc("date_trunc('month', l)::TIMESTAMP + INTERVAL 14 DAY + INTERVAL 1 HOUR")} AS m0,
+            {_utc("date_trunc('month', l)::TIMESTAMP - INTERVAL 1 MONTH + INTERVAL 14 DAY + INTERVAL 1 HOUR")} AS m1, {_utc("make_timestamp(year(l), 6, 2, 12, 0, 0)")} AS y0, {_utc("make_timestamp(year(l) - 1, 6, 2, 12, 0, 0)")} AS y1 FROM x)
+        SELECT o_orderkey, CASE WHEN d0 <= ts THEN d0 ELSE d1 END AS d, CASE WHEN w0 <= ts THEN w0 END AS w, CASE WHEN m0 <= ts THEN m0 ELSE m1 END AS m, CASE WHEN y0 <= ts THEN y0 ELSE y1 END AS y,
+            TIMESTAMP '1970-01-01' + to_seconds(CAST(floor(epoch_us(ts) / 1000000 / 5400) AS BIGINT) * 5400) AS i, CASE WHEN TIMESTAMP '1998-01-01' <= ts THEN TIMESTAMP '1998-01-01' END AS o FROM c""",
+    ),
+    "cron_prev": (
+        lambda s, d: C.cron_prev(times(s, d), "at", WORK).select("event_id", "prev"),
+        f"WITH mm AS (SELECT unnest(generate_series(TIMESTAMP '2022-12-01', TIMESTAMP '2024-06-01', INTERVAL 1 MINUTE)) AS m), f AS (SELECT m FROM mm WHERE {WORK_SQL}) SELECT event_id, f.m AS prev FROM events e ASOF JOIN f ON e.ts > f.m",
+    ),
+    "cron_scheduled": (
+        lambda s, d: C.cron_scheduled(times(s, d), "at", ODD).select("event_id", "scheduled"),
+        f"WITH mm AS (SELECT unnest(generate_series(TIMESTAMP '2022-12-01', TIMESTAMP '2024-06-01', INTERVAL 1 MINUTE)) AS m), f AS (SELECT m FROM mm WHERE {ODD_SQL}), e AS (SELECT event_id, ts + INTERVAL 1 SECOND AS ts FROM events) SELECT event_id, f.m AS scheduled FROM e ASOF JOIN f ON e.ts > f.m",
+    ),
+    "cron_next_zoned": (
+        lambda s, d: C.in_zone(times(s, d), "at", NY, lambda t, at: C.cron_next(t, at, WORK), "next").select("event_id", "next"),
+        f"WITH mm AS ({MINUTES}), f AS (SELECT {_utc('m')} AS u FROM mm WHERE {WORK_SQL}) SELECT event_id, f.u AS next FROM events e ASOF JOIN f ON e.ts < f.u",
+    ),
+    "cron_last": (
+        lambda s, d: C.cron_last(s, WORK, NOW(), 40),
+        f"WITH mm AS (SELECT unnest(generate_series(TIMESTAMP '2023-01-20', TIMESTAMP '2024-01-20 12:29:00', INTERVAL 1 MINUTE)) AS m) SELECT m AS slot FROM mm WHERE {WORK_SQL} ORDER BY m DESC LIMIT 40",
+    ),
+    "cron_following": (
+        lambda s, d: C.cron_following(s, WORK, NOW(), 40),
+        f"WITH mm AS ({MINUTES}) SELECT m AS slot FROM mm WHERE m > TIMESTAMP '2024-01-20 12:30:00' AND {WORK_SQL} ORDER BY m LIMIT 40",
+    ),
+    "partition_time_as_is": (
+        lambda s, d: times(s, d).select("event_id", *[C.partition_time(k, F.col("at")).alias(k) for k in ("cron", "once", "yearly", "timetable")]),
+        "SELECT event_id, ts AS cron, ts AS once, ts AS yearly, ts AS timetable FROM events",
+    ),
     "cron_slots": (lambda s, d: C.cron_slots(s, WORK, LOW(), HIGH()), f"WITH mm AS ({MINUTES}) SELECT m AS slot FROM mm WHERE m < TIMESTAMP '2024-02-01' AND {WORK_SQL}"),
     "cron_matches": (
         lambda s, d: times(s, d).select("event_id", C.cron_matches(C.cron("*/3 * */2 * 2"), F.col("at")).alias("fits")),
