@@ -85,21 +85,33 @@ class Encoder:
         self.kind = np.uint16 if max(max(ranks.values()), end) < 1 << 16 else np.uint32
         self.cutter, self.limit, self.end = Cutter([]), limit, np.array([end], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
-
-    def _new(self, key: str) -> bytes:
-        if len(self.known) >= self.limit:
+        self.initial = np.zeros(max(ranks.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.initial[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of new keys. Words are encoded together: a space begins each one, and no other token of them."""
+        words = [k for k in new if k and k[0] not in "\0\n"]
+        found: dict[str, bytes] = {}
+        if words:
+            flat = self.encoding.encode_to_numpy(" " + " ".join(words), disallowed_special=())
+            first = np.flatnonzero(self.initial[flat])
+            if len(first) == len(words):
+                raw, width = flat.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+                cuts = (np.append(first, len(flat)) * width).tolist()
+                found = {k: raw[i:j] for k, i, j in zip(words, cuts, cuts[1:])}
+        for k in new - found.keys():
+            found[k] = np.array(self.encoding.encode_ordinary(Cutter.piece(k)), self.kind).tobytes()
+        if len(self.known) + len(found) > self.limit:
             self.known.clear()
-        ids = self.encoding.encode_ordinary(Cutter.piece(key))
-        value = np.array(ids, self.kind).tobytes()
-        if len(key) <= MOST_KEPT:
-            self.known[key] = value
-        return value
+        self.known.update((k, v) for k, v in found.items() if len(k) <= MOST_KEPT)
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         keys, known = self.cutter.keys(text), self.known
         got = list(map(known.get, keys))
         if None in got:
-            got = [self._new(k) if v is None else v for k, v in zip(keys, got)]
+            fresh = self._learn({k for k, v in zip(keys, got) if v is None})
+            got = [fresh[k] if v is None else v for k, v in zip(keys, got)]
         return np.frombuffer(b"".join(got) + self.end, self.kind)
 
 
