@@ -116,22 +116,30 @@ def fit(texts: list[str], toxic: list[int], weight_clean: float = 1.0, buckets:
     y = np.array([toxic[i] for i in kept], np.float64)
     w = np.where(y > 0, 1.0, weight_clean)
     rows = [rows[i] for i in kept]
-    flat = np.concatenate(rows)
+    flat = np.concatenate(rows).astype(np.int32)
     lens = np.array([len(r) for r in rows])
     begin = np.concatenate(([0], np.cumsum(lens)[:-1]))
     stretches = []  # of each span: the document, first word and width of each stretch, and where documents' stretches begin
     for span in spans:
         n_win = np.maximum(lens - span + 1, 1)
-        win_doc = np.repeat(np.arange(len(rows)), n_win)
+        win_doc = np.repeat(np.arange(len(rows), dtype=np.int32), n_win)
         win_begin = np.cumsum(n_win) - n_win
-        stretches.append((win_doc, begin[win_doc] + np.arange(len(win_doc)) - win_begin[win_doc], np.minimum(span, lens)[win_doc], win_begin))
-    ids, starts = ngrams(list(known), buckets)
-    sizes = np.diff(np.append(starts, len(ids)))
-    by_bucket = np.argsort(ids, kind="stable")
-    used, used_at, at = np.unique(ids[by_bucket], return_index=True, return_inverse=True)
-    ids = np.empty(len(ids), np.int64)
-    ids[by_bucket] = at  # rows of the buckets that these texts use: no others are trained
-    owner = np.repeat(np.arange(len(known)), sizes)[by_bucket]
+        first = np.arange(len(win_doc), dtype=np.int32)
+        first += (begin - win_begin).astype(np.int32)[win_doc]
+        stretches.append((win_doc, first, np.minimum(span, lens).astype(np.int32)[win_doc], win_begin))
+    words, parts = list(known), []
+    for at in range(0, len(words), 8192):  # n-grams of some words at a time: what they are made from is much larger
+        ids, starts = ngrams(words[at : at + 8192], buckets)
+        parts.append((ids, np.diff(np.append(starts, len(ids))).astype(np.int32)))
+    ids, sizes = (np.concatenate(x) for x in zip(*parts))
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    by_bucket = np.argsort(ids, kind="stable").astype(np.int32)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)[by_bucket]
+    held = ids[by_bucket]
+    used_at = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+    used = held[used_at]  # the buckets that these texts use: no others are trained
+    ids[by_bucket] = np.repeat(np.arange(len(used), dtype=np.int32), np.diff(np.append(used_at, len(ids))))
+    del parts, by_bucket, held, words
 
     params = {"v": model.vectors[used], "s": model.softmax, "b": np.zeros(1)}
     moments = {k: (np.zeros_like(p, np.float64 if k == "b" else np.float32), np.zeros_like(p, np.float64 if k == "b" else np.float32)) for k, p in params.items()}
@@ -147,7 +155,9 @@ def fit(texts: list[str], toxic: list[int], weight_clean: float = 1.0, buckets:
             e = np.exp(z - top[win_doc])
             mass = np.add.reduceat(e, win_begin)
             logit += (top + np.log(mass)) / len(stretches)
-            parts.append(e / mass[win_doc] / width / len(stretches))
+            e /= mass[win_doc]
+            e /= width * np.float32(len(stretches))
+            parts.append(e.astype(np.float32))
         p = 1 / (1 + np.exp(-logit))
         g_doc = w * (p - y) / w.sum()
         edge = np.zeros(len(flat) + 1)
