@@ -55,7 +55,7 @@ def join_heavy(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "
     rows stay where they are. The others are shuffled.
     """
     size = right.agg(F.sum(n).alias("rows"), F.max(n).alias("largest")).first()
-    limit = max((size.rows or 0) // most, 1000)
+    limit = max((size.rows or 0) // most, 100)
     if (size.largest or 0) <= limit:
         return left.join(right, key, how)
     heavy, light = right.where(F.col(n) > limit), right.where(F.col(n) <= limit)
