@@ -173,12 +173,21 @@ def _softmax(x: np.ndarray, axis: int = -1) -> np.ndarray:
     return x / x.sum(axis, keepdims=True)
 
 
-def _scatter(ids: np.ndarray, grad: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _scatter(ids: np.ndarray, grad: np.ndarray, size: int, short: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids, all below ``size``, and the sums of their rows."""
     order = np.argsort(ids.astype(np.uint16) if size <= 1 << 16 else ids, kind="stable")  # short keys sort by radix
-    held = ids[order]
+    held, grad = ids.take(order), grad.take(order, 0)
     at = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
-    return held[at], np.add.reduceat(grad[order], at, axis=0)
+    n = np.diff(np.append(at, len(held)))
+    sums, one = grad.take(at, 0), np.ones(len(held), grad.dtype)
+    for i in np.flatnonzero(n > short).tolist():  # the few ids with many rows
+        stop = at[i] + n[i]
+        np.matmul(one[at[i] : stop], grad[at[i] : stop], out=sums[i])
+    some = np.flatnonzero(n <= short)
+    for j in range(1, short):
+        some = some[n.take(some) > j]
+        sums[some] += grad.take(at.take(some) + j, 0)
+    return held.take(at), sums
 
 
 _BACK = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, WINDOW - 1)

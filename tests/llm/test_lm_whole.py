@@ -89,3 +89,13 @@ def test_words_are_spelled_as_one_by_one():
 def test_frequent_words_have_a_bound(spark):
     counts = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 50 + [2] * 30 + [5, 7, 2000, 2010, 90_000])], "hash long, n long")
     assert [lm.frequent(counts, k) for k in (0, 1, 3, 5, 34, 35, 1000)] == [(1 << 63) - 1, 90_000, 2000, 5, 5, 2, 1]
+
+
+def test_rows_are_summed_by_id():
+    rng = np.random.default_rng(8)
+    for ids in (rng.integers(0, 40, 300), np.arange(9), np.zeros(70, np.int64)):
+        grad = rng.normal(0, 1, (len(ids), 5)).astype(np.float32)
+        for size in (50, 1 << 17):
+            held, sums = lm._scatter(ids, grad, size)
+            assert held.tolist() == sorted(set(ids.tolist()))
+            assert np.allclose(sums, [grad[ids == i].sum(0) for i in held], atol=1e-4)
