@@ -29,8 +29,8 @@ from flowlens.llm.common import batch
 MANIFEST = "file string, n_rows long, size int, n_lengths long, n_tokens long"
 PACKED = "pack_id long, n_tokens int, input_ids array<int>, position_ids array<int>, cu_seqlens array<int>"
 
-#: Rows in a file, at most; a task that has more begins another one.
-FILE_ROWS = 16_384
+#: Rows in a file, at most; a task that has more begins another one. It holds those of one file.
+FILE_ROWS = 4_096
 
 
 def _bytes(x) -> bytes:
