@@ -71,8 +71,11 @@ def _labels(spark, d):
 
 
 def _uuids(spark, d):
-    hexed = F.lpad(F.lower(F.hex(F.col("event_id") * 86_400_000)), 12, "0")
-    return S.table(spark, d, "events").select("event_id", C.uuid7_time(F.concat(F.substring(hexed, 1, 8), F.lit("-"), F.substring(hexed, 9, 4), F.when(F.col("event_id") % 3 == 0, "-4").otherwise("-7"), F.lit("abc-8def-0123456789ab"))).cast("timestamp_ntz").alias("at"))
+    """A day per event; a UUID holds the lower 48 bits of its milliseconds, the era those above."""
+    millis = F.col("event_id") * 86_400_000
+    hexed, era = F.lpad(F.lower(F.hex(millis.bitwiseAND((1 << 48) - 1))), 12, "0"), F.shiftright(millis, 48)
+    uuid = F.concat(F.substring(hexed, 1, 8), F.lit("-"), F.substring(hexed, 9, 4), F.when(F.col("event_id") % 3 == 0, "-4").otherwise("-7"), F.lit("abc-8def-0123456789ab"))
+    return S.table(spark, d, "events").select("event_id", C.uuid7_time(uuid, era).cast("timestamp_ntz").alias("at"))
 
 
 def _durations(spark, d):

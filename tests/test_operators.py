@@ -8,6 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from flowlens import plans
 from flowlens.functions import columns as C
 from flowlens.functions.tables import closure
 from flowlens.operators import dispatch as D
@@ -69,6 +70,14 @@ def test_uuid7_time(spark):
     assert one(spark, C.uuid7_time(F.lit("018f0000-0000-4abc-8def-0123456789ab"))) is None
 
 
+def test_uuid7_times_beyond_48_bits(spark, tmp_path):
+    days = [0, 1, 3_257_812, 3_257_813, 5_999_999, None]
+    spark.createDataFrame([(n,) for n in days], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.us for r in plans.queries()["uuid7_time"](spark, str(tmp_path)).selectExpr("event_id", "unix_micros(cast(at as timestamp)) AS us").collect()}
+    assert got == {n: n * 86_400_000_000 if n and n % 3 else None for n in days}
+    assert one(spark, C.uuid7_time(F.lit("00000000-0001-7abc-8def-0123456789ab"), 1).cast("double")) == ((1 << 48) + 1) / 1000
+
+
 def test_retry_delay(spark):
     assert [one(spark, C.retry_delay(F.lit(n))) for n in (0, 1, 2, 5, 20)] == [2, 2, 4, 32, 300]
 
