@@ -5,7 +5,7 @@ the word itself), so a misspelling that was never seen shares most of them. The
 vectors of some words in a row are averaged and go through a linear softmax; a
 document's logit is the soft maximum over its stretches, as a few toxic words in a
 long clean text are enough, in the mean over short and longer stretches. Embeddings and softmax are trained jointly in
-numpy, on a bounded sample of labelled rows; every document is then scored whole.
+numpy, on a bounded sample of labelled rows, in a Spark task; every document is then scored whole.
 """
 
 from __future__ import annotations
@@ -147,12 +147,16 @@ def fit(texts: list[str], toxic: list[int], weight_clean: float = 1.0, buckets:
     for step in range(1, steps + 1):
         d = model.softmax[:, 1] - model.softmax[:, 0]
         each = np.add.reduceat((params["v"] @ d)[ids], starts) / sizes  # a mean of dot products is the mean vector's
-        total = np.concatenate(([0.0], np.cumsum(each[flat], dtype=np.float64)))
+        total = np.zeros(len(flat) + 1)
+        np.cumsum(each[flat], dtype=np.float64, out=total[1:])
         logit, parts = np.full(len(rows), params["b"][0]), []
         for win_doc, first, width, win_begin in stretches:
-            z = (total[first + width] - total[first]) / width
-            top = np.maximum.reduceat(z, win_begin)
-            e = np.exp(z - top[win_doc])
+            e = total[first + width]
+            e -= total[first]
+            e /= width
+            top = np.maximum.reduceat(e, win_begin)
+            e -= top[win_doc]
+            np.exp(e, out=e)
             mass = np.add.reduceat(e, win_begin)
             logit += (top + np.log(mass)) / len(stretches)
             e /= mass[win_doc]
@@ -162,10 +166,12 @@ def fit(texts: list[str], toxic: list[int], weight_clean: float = 1.0, buckets:
         g_doc = w * (p - y) / w.sum()
         edge = np.zeros(len(flat) + 1)
         for (win_doc, first, width, _), part in zip(stretches, parts):
-            g_win = g_doc[win_doc] * part
+            g_win = g_doc[win_doc]
+            g_win *= part
             edge += np.bincount(first, g_win, len(flat) + 1)
             edge -= np.bincount(first + width, g_win, len(flat) + 1)
-        g_word = np.bincount(flat, np.cumsum(edge)[:-1], len(known))
+        del parts, part, g_win, total
+        g_word = np.bincount(flat, np.cumsum(edge, out=edge)[:-1], len(known))
         g_bucket = np.add.reduceat((g_word / sizes).astype(np.float32)[owner], used_at)
         g_dir = g_bucket @ params["v"]
         grads = {"s": np.stack([-g_dir, g_dir], 1) + 1e-5 * model.softmax, "b": np.array([g_doc.sum()])}
@@ -180,8 +186,8 @@ def fit(texts: list[str], toxic: list[int], weight_clean: float = 1.0, buckets:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> tuple[list[str], list[int], float]:
-    """Texts and labels of a bounded sample, and the weight that undoes its class shares.
+def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> tuple[DataFrame, float]:
+    """Rows (doc_id, text, y) of a bounded sample, and the weight that undoes its class shares.
 
     Only labelled rows outside the held-out fold (crc32 of the id, modulo 4, is
     not 2) are seen; of each class the ``toxic`` or ``clean`` ones whose id hashes lowest.
@@ -193,11 +199,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC,
         part = seen.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         pick = part if pick is None else pick.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = texts.join(F.broadcast(pick), "doc_id").collect()  # at most toxic + clean labelled ids
-    rows.sort(key=lambda r: (r.doc_id, r.text))
     took = {y: min(n.get(y, 0), most) for y, most in ((1, toxic), (0, clean))}
     weight = (n.get(0, 0) / max(1, took[0])) / (n.get(1, 0) / max(1, took[1])) if n.get(1) and n.get(0) else 1.0
-    return [r.text for r in rows], [r.y for r in rows], weight
+    return texts.join(F.broadcast(pick), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y")), weight  # at most toxic + clean labelled ids
 
 
 class Scorer:
@@ -224,8 +228,18 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> bytes:
-    texts, toxic, weight = training_rows(docs, labels)
-    return pickle.dumps(fit(texts, toxic, weight))
+    """The pickled model, fitted by one task on the sampled rows: neither they nor the fit's arrays pass the driver."""
+    rows, weight = training_rows(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        if found:
+            _, texts, toxic = zip(*found)
+            del found
+            yield batch(model=pa.array([pickle.dumps(fit(list(texts), list(toxic), weight))], pa.binary()))
+
+    found = map_batches(rows.repartition(1), run, "model binary").collect()
+    return bytes(found[0].model) if found else pickle.dumps(fit([], [], weight))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
