@@ -29,33 +29,34 @@ def history_spans(history: DataFrame) -> DataFrame:
     """
     if "timer_seq" not in history.columns:
         history = history.withColumn("timer_seq", F.lit(None).cast("long"))
-    kind, is_start = F.col("kind"), F.col("phase") == "START"
+    kind, at, is_start, code = F.col("kind"), F.col("at"), F.col("phase") == "START", lambda c: F.when(F.col(c) == "TIMEOUT", 1).when(F.col(c).isNotNull(), 0)
     slot = F.when(kind == "WAIT", F.coalesce("name", F.lit(""))).when(kind == "SLEEP", F.col("timer_seq").cast("string"))
-    rows = history.select("task_id", "seq", "kind", "phase", "name", "at", slot.alias("_slot"))
+    rows = history.where(kind.isin(*PAIRED, *POINTS)).select("task_id", "seq", "kind", "phase", "name", "at", slot.alias("_slot"))
+    # the history is gone through once: all windows, and the groups, lie within a task and kind
     in_slot = Window.partitionBy("task_id", "kind", "_slot").orderBy("seq")
-    held = rows.where("_slot is not null").withColumns({"_before": F.lag("phase").over(in_slot), "_end": F.lead("phase").over(in_slot), "finished_at": F.lead("at").over(in_slot)})
-    columns = ["task_id", "kind", "seq", "name", "started_at", "finished_at", "_end"]
-    name = F.when(kind == "WAIT", F.col("_slot")).otherwise(F.lower("kind"))
-    closed = held.where(is_start & (F.col("_end").isNull() | (F.col("_end") != "START")))
-    closed = closed.select("task_id", "kind", "seq", name.alias("name"), F.col("at").alias("started_at"), "finished_at", "_end")
-    loose = held.where((kind == "SLEEP") & ~is_start & (F.col("_before").isNull() | (F.col("_before") != "START")))
-    line = rows.where(F.col("_slot").isNull() & kind.isin("SLEEP", "CONDITION")).unionByName(loose.select(*rows.columns))
+    rows = rows.withColumns({"_before": F.lag("phase").over(in_slot), "_after": F.lead("phase").over(in_slot), "_after_at": F.lead("at").over(in_slot)})
+    held, loose = F.col("_slot").isNotNull(), (kind == "SLEEP") & ~is_start & (F.col("_before").isNull() | (F.col("_before") != "START"))
+    closed = held & is_start & (F.col("_after").isNull() | (F.col("_after") != "START"))
+    line = F.when(held, loose).otherwise(kind.isin("SLEEP", "CONDITION"))
+    rows = rows.withColumns({"_closed": F.coalesce(closed, F.lit(False)), "_line": F.coalesce(line, F.lit(False))})
     # open starts are the running sum of starts less ends, less what it fell below zero: an end that makes a new low finds none
     by_seq = Window.partitionBy("task_id", "kind").orderBy("seq")
-    summed = line.withColumn("_sum", F.sum(F.when(is_start, 1).otherwise(-1)).over(by_seq))
-    low = F.least(F.lit(0), F.coalesce(F.min("_sum").over(by_seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    paired = summed.withColumn("_low", low).where(is_start | (F.col("_sum") >= F.col("_low")))
-    side = Window.partitionBy("task_id", "kind", is_start).orderBy("seq")
-    numbered = paired.withColumn("_k", F.row_number().over(side))
-    of = lambda c, when: F.min(F.when(when, F.col(c)))
-    fifo = numbered.groupBy("task_id", "kind", "_k").agg(
-        of("seq", is_start).alias("seq"), F.lower("kind").alias("name"), of("at", is_start).alias("started_at"), of("at", ~is_start).alias("finished_at"), of("phase", ~is_start).alias("_end")
+    so_far = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn("_sum", F.sum(F.when(F.col("_line"), F.when(is_start, 1).otherwise(-1))).over(by_seq))
+    low = F.least(F.lit(0), F.coalesce(F.min(F.when(F.col("_line"), F.col("_sum"))).over(by_seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    found = summed.withColumn("_low", low).withColumn("_fifo", F.col("_line") & (is_start | (F.col("_sum") >= F.col("_low"))))
+    fifo, end = F.col("_fifo"), F.col("_fifo") & ~is_start
+    nth = lambda when: F.count(F.when(when, 1)).over(so_far)
+    numbered = found.withColumn("_k", F.when(end, nth(end)).when(fifo, nth(fifo & is_start)).otherwise(nth(F.lit(True))))
+    point = kind.isin(*POINTS)
+    name = F.when(kind == "WAIT", F.col("_slot")).when(point, F.coalesce("name", F.lower("kind"))).otherwise(F.lower("kind"))
+    spans = numbered.where(F.col("_closed") | fifo | point).groupBy("task_id", "kind", "_fifo", "_k", name.alias("name")).agg(  # a start and its end have one number; others are alone
+        F.min(F.when(~end, F.col("seq"))).alias("seq"), F.min(F.when(~end, at)).alias("started_at"),
+        F.min(F.when(F.col("_closed"), F.col("_after_at")).when(point | end, at)).alias("finished_at"),
+        F.min(F.when(F.col("_closed"), code("_after")).when(point, 0).when(end, code("phase"))).alias("_end"),
     )
-    at = F.col("at")
-    points = rows.where(kind.isin(*POINTS)).select("task_id", "kind", "seq", F.coalesce("name", F.lower("kind")).alias("name"), at.alias("started_at"), at.alias("finished_at"), F.lit("END").alias("_end"))
-    state = F.when(F.col("_end").isNull(), "RUNNING").when(F.col("_end") == "TIMEOUT", "TIMED_OUT").otherwise("COMPLETED")
-    found = fifo.select(*columns).unionByName(closed).unionByName(points)
-    return found.select("task_id", "kind", "seq", "name", "started_at", "finished_at", state.alias("state"))
+    state = F.when(F.col("_end").isNull(), "RUNNING").when(F.col("_end") == 1, "TIMED_OUT").otherwise("COMPLETED")
+    return spans.select("task_id", "kind", "seq", "name", "started_at", "finished_at", state.alias("state"))
 
 
 def trace_tree(spans: DataFrame, as_of: Column) -> DataFrame:

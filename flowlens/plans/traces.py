@@ -28,17 +28,18 @@ f AS (SELECT task_id, kind, min(seq) FILTER (phase = 'START') AS seq, lower(kind
 
 def history(spark, d):
     """Starts and ends of runs; some ends come before all starts, some carry the number of another timer."""
-    r, k, t = S.runs(spark, d), F.col("task_id") % 4, F.col("task_id")
-    name = F.concat(F.lit("n"), (F.col("worker_id") % 2).cast("string")).alias("name")
-    kind = F.when(k == 0, "SLEEP").when(k == 1, "WAIT").when(k == 2, "CONDITION").otherwise("SIGNAL").alias("kind")
-    timer = lambda n: F.when(t % 8 == 0, F.col("attempt") - n).alias("timer_seq")
-    begin = r.select("task_id", (F.col("attempt") * 2).alias("seq"), kind, F.when(k == 3, "POINT").otherwise("START").alias("phase"), name, F.col("started_at").alias("at"), timer(F.lit(0)))
-    phase = F.when(F.col("state") == "FAILED", "TIMEOUT").otherwise("END").alias("phase")
-    end = r.where("finished_at is not null and task_id % 4 <> 3").select("task_id", (F.col("attempt") * 2 + 3).alias("seq"), kind, phase, name, F.col("finished_at").alias("at"), timer(F.floor(t / 8) % 3))
-    first, none = r.where("attempt = 1"), F.lit(None).cast("long").alias("timer_seq")
-    early = first.where("task_id % 4 in (0, 2) and task_id % 5 = 0").select("task_id", F.lit(1).cast("long").alias("seq"), kind, F.lit("END").alias("phase"), F.lit("n0").alias("name"), F.col("finished_at").alias("at"), none)
-    plain = first.where("task_id % 8 = 0 and task_id % 3 = 0").select("task_id", F.lit(0).cast("long").alias("seq"), kind, F.lit("START").alias("phase"), F.lit("n0").alias("name"), F.col("started_at").alias("at"), none)
-    return begin.unionByName(end).unionByName(early).unionByName(plain)
+    k, t, attempt = F.col("task_id") % 4, F.col("task_id"), F.col("attempt")
+    name = F.concat(F.lit("n"), (F.col("worker_id") % 2).cast("string"))
+    kind = F.when(k == 0, "SLEEP").when(k == 1, "WAIT").when(k == 2, "CONDITION").otherwise("SIGNAL")
+    timer, none = lambda n: F.when(t % 8 == 0, attempt - n), F.lit(None).cast("long")
+    row = lambda seq, phase, name, at, timer: F.struct(seq.alias("seq"), phase.alias("phase"), name.alias("name"), F.col(at).alias("at"), timer.alias("timer_seq"))
+    phase, number = F.when(F.col("state") == "FAILED", F.lit("TIMEOUT")).otherwise("END"), lambda n: F.lit(n).cast("long")
+    begin = row(attempt * 2, F.when(k == 3, "POINT").otherwise("START"), name, "started_at", timer(F.lit(0)))
+    end = F.when(F.col("finished_at").isNotNull() & (k != 3), row(attempt * 2 + 3, phase, name, "finished_at", timer(F.floor(t / 8) % 3)))
+    early = F.when((attempt == 1) & k.isin(0, 2) & (t % 5 == 0), row(number(1), F.lit("END"), F.lit("n0"), "finished_at", none))
+    plain = F.when((attempt == 1) & (t % 8 == 0) & (t % 3 == 0), row(number(0), F.lit("START"), F.lit("n0"), "started_at", none))
+    rows = S.runs(spark, d).select("task_id", kind.alias("kind"), F.explode(F.array(begin, end, early, plain)).alias("_h"))  # the runs are read once
+    return rows.where("_h is not null").select("task_id", "kind", "_h.*")
 
 
 def spans(spark, d):

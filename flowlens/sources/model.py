@@ -58,7 +58,7 @@ def runs(spark: SparkSession, sf_dir: str, with_tasks: DataFrame | None = None)
     state = F.when(F.col("l_returnflag") == "R", "FAILED").when(F.col("l_returnflag") == "A", "COMPLETED").when(F.col("l_linestatus") == "O", "RUNNING").otherwise("COMPLETED")
     task = (with_tasks if with_tasks is not None else tasks(spark, sf_dir)).select(F.col("id").alias("task_id"), "namespace_id", "queue", "name", "kind", "priority", "created_at")
     rows = items.join(task, F.col("l_orderkey") == F.col("task_id"))
-    rows = rows.select("task_id", "attempt", "namespace_id", "queue", "name", "kind", "priority", "created_at", F.col("l_suppkey").alias("worker_id"), state.alias("state"), F.timestamp_add("HOUR", F.col("attempt").cast("int"), F.col("created_at")).alias("started_at"), F.col("l_quantity").cast("int").alias("minutes"))
+    rows = rows.select(F.col("l_orderkey").alias("task_id"), "attempt", "namespace_id", "queue", "name", "kind", "priority", "created_at", F.col("l_suppkey").alias("worker_id"), state.alias("state"), F.timestamp_add("HOUR", F.col("attempt").cast("int"), F.col("created_at")).alias("started_at"), F.col("l_quantity").cast("int").alias("minutes"))
     return rows.withColumns({"finished_at": F.when(F.col("state") != "RUNNING", F.timestamp_add("MINUTE", F.col("minutes"), F.col("started_at"))), "lease_expires_at": F.timestamp_add("MINUTE", F.col("minutes") * 3, F.col("started_at"))})
 
 
