@@ -18,21 +18,21 @@ from __future__ import annotations
 import base64
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import batch, checkpointed, fold, text_of
-from flowlens.llm.shingles import words_of
 
 #: Training texts that the start of the attention model is fitted on, at most; the rounds after it cover all.
 START_DOCS = 1_200
@@ -42,6 +42,10 @@ ROUNDS, RATE = 2, 0.01
 TABLE_SIZE = 1_000_000
 #: Words that a worker keeps, and their bytes; characters of the texts that it takes at once.
 CACHE_SIZE, CACHE_BYTES, BATCH_CHARS = 500_000, 32 << 20, 400_000
+#: Characters of the texts whose words are counted at once.
+COUNT_CHARS = 8_000_000
+#: Windows that go through the attention at once, so that their arrays stay in a core's cache.
+CHUNK = 64
 #: Attention scores and logits are held within this, so that no exponential overflows.
 MOST_SCORE = 60
 #: The attention model's share in a known word's probability.
@@ -92,8 +96,26 @@ class Spelling:
         return {b: self.encoding.encode_single_token(bytes([b])) for b in range(256)}
 
 
+@lru_cache(maxsize=1)
+def spelling_of(ranks_path: str) -> Spelling:
+    """A worker reads the ids once, not in each of its tasks."""
+    return Spelling(ranks_path)
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (``words_of``), each text's followed by an empty one for its end; and how many each has."""
+    kept = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    empty, space = pa.scalar("", texts.type), pa.scalar(" ", texts.type)
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(kept, empty), empty, pc.binary_join_element_wise(kept, space, empty)))
+    return lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class Words(dict):
-    """Numbers of the words that a worker has met; ``starts`` and ``ids`` hold their spellings. The end is number 0."""
+    """Numbers of the words that a worker has met; ``starts`` and ``ids`` hold their spellings. The end, an empty word, is number 0."""
 
     def __init__(self, spelling: Spelling):
         super().__init__()
@@ -102,16 +124,10 @@ class Words(dict):
 
     def empty(self) -> None:
         self.clear()
-        self[END_WORD] = 0
-        self.new: list[bytes] = []
+        self[b""] = 0
         self.bytes, self.ids, self.starts = 0, np.full(8192, self.spelling.end, np.int32), np.zeros(1025, np.int64)
         self.starts[1] = 1
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
     def learn(self, first: int, words: list[bytes]) -> None:
         """Spells the words numbered from ``first`` on."""
         ids, lens = self.spelling.spell(words)
@@ -122,17 +138,21 @@ class Words(dict):
         self.ids[used : used + len(ids)] = ids
         self.bytes += sum(map(len, words))
 
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words, texts end to end, each with its end; and where texts begin."""
         if len(self) > CACHE_SIZE or self.bytes > CACHE_BYTES:
             self.empty()
-        split = [[*words_of(t), END_WORD] for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        if self.new:
-            new, self.new = self.new, []
-            self.learn(len(self) - len(new), new)
-        return flat, np.cumsum(sizes) - sizes
+        flat, sizes = split(texts)
+        flat = flat.dictionary_encode()
+        words = _bytes(flat.dictionary)
+        number = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            first, met = len(self), [words[i] for i in new.tolist()]
+            number[new] = np.arange(first, first + len(met))
+            self.update(zip(met, range(first, first + len(met))))
+            self.learn(first, met)
+        return number.take(flat.indices.to_numpy()), np.cumsum(sizes) - sizes
 
     def spelled(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of numbered words, and where each word's begin."""
@@ -145,14 +165,12 @@ def _room(x: np.ndarray, need: int) -> np.ndarray:
     return x if len(x) >= need else np.concatenate((x, np.zeros(max(need - len(x), len(x)), x.dtype)))
 
 
-def _taken(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts that hold about BATCH_CHARS characters; a longer text comes alone."""
-    at = 0
+def _taken(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that hold about ``most`` characters (BATCH_CHARS); a longer text comes alone."""
+    end, at, most = np.cumsum(pc.utf8_length(texts).to_numpy(), dtype=np.int64), 0, most or BATCH_CHARS
     while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BATCH_CHARS):
-            size += len(texts[stop])
-            stop += 1
+        done = end[at - 1] if at else 0
+        stop = max(int(np.searchsorted(end, done + most, side="right")), at + 1)
         yield at, stop
         at = stop
 
@@ -176,18 +194,26 @@ def _softmax(x: np.ndarray, axis: int = -1) -> np.ndarray:
 def _scatter(ids: np.ndarray, grad: np.ndarray, size: int, short: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids, all below ``size``, and the sums of their rows."""
     order = np.argsort(ids.astype(np.uint16) if size <= 1 << 16 else ids, kind="stable")  # short keys sort by radix
-    held, grad = ids.take(order), grad.take(order, 0)
+    held = ids.take(order)
     at = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
-    n = np.diff(np.append(at, len(held)))
-    sums, one = grad.take(at, 0), np.ones(len(held), grad.dtype)
-    for i in np.flatnonzero(n > short).tolist():  # the few ids with many rows
-        stop = at[i] + n[i]
-        np.matmul(one[at[i] : stop], grad[at[i] : stop], out=sums[i])
+    held, n = held.take(at), np.diff(np.append(at, len(order)))
+    sums, many = np.empty((len(at), grad.shape[1]), grad.dtype), np.flatnonzero(n > short)
+    if len(many):  # the few ids with many rows
+        size = n.take(many)
+        stop = np.cumsum(size)
+        rows = grad.take(order.take(np.repeat(at.take(many) - stop + size, size) + np.arange(stop[-1])), 0)
+        one = np.ones(int(size.max()), grad.dtype)
+        for i, b, e in zip(many.tolist(), (stop - size).tolist(), stop.tolist()):
+            np.matmul(one[: e - b], rows[b:e], out=sums[i])
     some = np.flatnonzero(n <= short)
+    some = some.take(np.argsort(-n.take(some), kind="stable"))  # those with more rows come first
+    at, n = at.take(some), n.take(some)
+    few = grad.take(order.take(at), 0)
     for j in range(1, short):
-        some = some[n.take(some) > j]
-        sums[some] += grad.take(at.take(some) + j, 0)
-    return held.take(at), sums
+        k = int(np.count_nonzero(n > j))
+        few[:k] += grad.take(order.take(at[:k] + j), 0)
+    sums[some] = few
+    return held, sums
 
 
 _BACK = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
@@ -199,15 +225,15 @@ def _seen(place: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(place, -MOST_SCORE / 2, MOST_SCORE / 2))[_BACK] * _LOWER
 
 
-def attend(rows: np.ndarray, seen: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
-    """Attention weights (windows x WINDOW x WINDOW), the parts' weights (windows x WINDOW x parts), not yet
-    divided by their sum, and the views query, key, value of ``rows``."""
+def attend(rows: np.ndarray, seen: np.ndarray, parts: int, first: int = 0) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Attention weights (windows x places x WINDOW), the parts' weights (windows x places x parts), not yet
+    divided by their sum, for the places from ``first`` on; and query (scaled), key, value of ``rows``."""
     width = (rows.shape[-1] - 2 * parts) // 2
-    q, k, v, own = (rows[..., i:j] for i, j in ((0, width), (width, 2 * width), (2 * width, 2 * width + parts), (2 * width + parts, None)))
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= np.float32(1 / np.sqrt(width))
+    q = rows[:, first:, :width] * np.float32(1 / np.sqrt(width))
+    k, v, own = rows[..., width : 2 * width], rows[..., 2 * width : 2 * width + parts], rows[:, first:, 2 * width + parts :]
+    a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
     np.exp(np.clip(a, -MOST_SCORE / 2, MOST_SCORE / 2, out=a), out=a)
-    a *= seen
+    a *= seen[first:]
     a /= np.matmul(a.reshape(-1, WINDOW), np.ones((WINDOW, 1), np.float32)).reshape(*a.shape[:2], 1)
     u = np.matmul(a, v)
     u += own
@@ -221,29 +247,40 @@ def gradients(rows: np.ndarray, place: np.ndarray, t: np.ndarray, live: np.ndarr
     ``rows`` holds, for windows x WINDOW ids, query, key, value and own side by side;
     ``t`` the parts' probabilities of the next ids; places not ``live`` count for nothing.
     """
+    g_rows, resp, n = np.empty(rows.shape, np.float32), np.empty(t.shape, np.float32), t[..., 0].size if live is None else max(live.sum(), 1)
+    g_place = _gradients(rows, _seen(place), t, live, g_rows, resp)
+    g_rows *= _scales(rows.shape[-1], t.shape[-1], n)
+    return g_rows, g_place / np.float32(n), resp
+
+
+def _scales(wide: int, parts: int, n: int) -> np.ndarray:
+    """What the columns that ``_gradients`` fills are multiplied by for a mean over ``n`` places."""
+    width, scales = (wide - 2 * parts) // 2, np.full(wide, 1 / n, np.float32)
+    scales[:width] /= np.float32(np.sqrt(width))
+    return scales
+
+
+def _gradients(rows: np.ndarray, seen: np.ndarray, t: np.ndarray, live: np.ndarray | None, g_rows: np.ndarray, resp: np.ndarray) -> np.ndarray:
+    """Fills ``g_rows``, but for ``_scales``, and ``resp`` of ``gradients``; the gradient of the sum by each distance's bias."""
     parts, f4 = t.shape[-1], np.float32
-    a, g_u, (q, k, v) = attend(rows, _seen(place), parts)
-    one = np.ones((parts, 1), f4)
-    resp = g_u * t
-    resp /= np.maximum(np.matmul(resp.reshape(-1, parts), one), f4(1e-30)).reshape(*t.shape[:2], 1)
-    g_u /= np.matmul(g_u.reshape(-1, parts), one).reshape(*t.shape[:2], 1)
-    g_u -= resp
+    a, u, (q, k, v) = attend(rows, seen, parts)
+    width, shape, one = q.shape[-1], (*t.shape[:2], 1), np.ones((parts, 1), f4)
+    mixed = u * t
+    mixed /= np.maximum(np.matmul(mixed.reshape(-1, parts), one), f4(1e-30)).reshape(shape)
+    u /= np.matmul(u.reshape(-1, parts), one).reshape(shape)
+    u -= mixed
     if live is not None:
-        g_u *= live[..., None]
-        resp *= live[..., None]
-    g_u *= f4(1 / (t[..., 0].size if live is None else max(live.sum(), 1)))
-    g_s = np.matmul(g_u, v.transpose(0, 2, 1))
+        u *= live[..., None]
+        mixed *= live[..., None]
+    resp[...] = mixed
+    g_s = np.matmul(u, np.ascontiguousarray(v.transpose(0, 2, 1)))
     g_s -= np.einsum("bij,bij->bi", g_s, a)[..., None]
     g_s *= a
-    width = q.shape[-1]
-    out = np.empty(rows.shape, f4)
-    scale = f4(1 / np.sqrt(width))
-    out[..., :width] = np.matmul(g_s, k)
-    out[..., width : 2 * width] = np.matmul(g_s.transpose(0, 2, 1), q)
-    out[..., : 2 * width] *= scale
-    out[..., 2 * width : 2 * width + parts] = np.matmul(a.transpose(0, 2, 1), g_u)
-    out[..., 2 * width + parts :] = g_u
-    return out, np.bincount(_BACK[_LOWER], g_s.sum(0)[_LOWER], WINDOW).astype(f4), resp
+    np.matmul(g_s, k, out=g_rows[..., :width])
+    np.matmul(g_s.transpose(0, 2, 1), q, out=g_rows[..., width : 2 * width])
+    np.matmul(a.transpose(0, 2, 1), u, out=g_rows[..., 2 * width : 2 * width + parts])
+    g_rows[..., 2 * width + parts :] = u
+    return np.bincount(_BACK[_LOWER], g_s.sum(0)[_LOWER], WINDOW).astype(f4)
 
 
 class Adam:
@@ -255,9 +292,19 @@ class Adam:
     def move(self, at, g: np.ndarray, rate: float) -> None:
         f4 = np.float32
         self.step += 1
-        m1 = self.m1[at] = f4(0.9) * self.m1[at] + f4(0.1) * g
-        m2 = self.m2[at] = f4(0.98) * self.m2[at] + f4(0.02) * g * g
-        self.x[at] -= f4(rate) * (m1 / f4(1 - 0.9**self.step)) / (np.sqrt(m2 / f4(1 - 0.98**self.step)) + f4(1e-8))
+        rows = (lambda x: x.take(at, 0)) if isinstance(at, np.ndarray) else (lambda x: x[at])
+        m1, m2 = rows(self.m1) * f4(0.9), rows(self.m2) * f4(0.98)
+        m1 += f4(0.1) * g
+        g = np.square(g)
+        g *= f4(0.02)
+        m2 += g
+        self.m1[at], self.m2[at] = m1, m2
+        m2 *= f4(1 / (1 - 0.98**self.step))
+        np.sqrt(m2, out=m2)
+        m2 += f4(1e-8)
+        m1 *= f4(rate / (1 - 0.9**self.step))
+        m1 /= m2
+        self.x[at] = rows(self.x) - m1
 
 
 @dataclass
@@ -322,25 +369,35 @@ def _round(start, rate: float, batch_rows: int = 256):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Start = pickle.loads(start.value)
-        spelling = Spelling(s.ranks_path)
+        spelling = spelling_of(s.ranks_path)
         own, place, parts = Adam(s.rows.copy()), Adam(s.place.copy()), s.table.shape[1]
         uses, shares = np.zeros(len(s.table), np.int64), np.zeros(s.table.shape)
-        words, size = Words(spelling), spelling.size
+        words, size, wide = Words(spelling), spelling.size, s.rows.shape[1]
         flat, need = np.array([spelling.end]), batch_rows * WINDOW
 
         def learn(ids: np.ndarray, n: int) -> None:
             """A step over the first ``n`` ids after the first; the rest is padding."""
             x, y = ids[:-1].reshape(-1, WINDOW), ids[1:].reshape(-1, WINDOW)
             live = None if n == x.size else (np.arange(x.size) < n).reshape(x.shape)
-            g_rows, g_place, resp = gradients(own.x.take(x, 0), place.x, s.table.take(y, 0), live)
-            own.move(*_scatter(x.ravel(), g_rows.reshape(-1, g_rows.shape[-1]), size), rate)
-            place.move(slice(None), g_place, rate)
-            some, g = _scatter(y.ravel(), resp.reshape(-1, parts), size)
-            shares[some] += g
+            # a row for each id: its gradient as context, and the parts' shares in it as next id
+            both = np.empty((len(ids), wide + parts), np.float32)
+            both[-1, :wide], both[0, wide:] = 0, 0
+            g_rows, resp = both[:-1, :wide].reshape(*x.shape, wide), both[1:, wide:].reshape(*x.shape, parts)
+            seen, g_place = _seen(place.x), 0
+            for at in range(0, len(x), CHUNK):
+                some = slice(at, at + CHUNK)
+                g_place += _gradients(own.x.take(x[some], 0), seen, s.table.take(y[some], 0), None if live is None else live[some], g_rows[some], resp[some])
+            held, sums = _scatter(ids, both, size)
+            shares[held] += sums[:, wide:]
+            if not (ids[:-1] == ids[-1]).any():  # the last id is no context in this step: its row rests
+                keep = held != ids[-1]
+                held, sums = held[keep], sums[keep]
+            own.move(held, sums[:, :wide] * _scales(wide, parts, n), rate)
+            place.move(slice(None), g_place / np.float32(n), rate)
             np.add(uses, np.bincount(x.ravel()[:n], minlength=len(uses)), out=uses)
 
         for b in batches:
-            texts = b.column(0).to_pylist()
+            texts = b.column(0)
             for begin, stop in _taken(texts):
                 ids, _ = words.spelled(words.numbers(texts[begin:stop])[0])
                 flat, at = np.concatenate((flat, ids)), 0
@@ -419,7 +476,7 @@ def finished(s: Start, spelling: Spelling) -> Model:
     return Model(s.rows, s.place, s.table, sums, s.ranks_path)
 
 
-def score_ids(model: Model, ids: np.ndarray, docs: np.ndarray, end: int, rows: int = 128) -> tuple[np.ndarray, np.ndarray]:
+def score_ids(model: Model, ids: np.ndarray, docs: np.ndarray, end: int, rows: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of each id, and of a word border at its place.
 
     ``ids`` holds texts end to end, ``docs`` where each begins. A text's first id
@@ -438,38 +495,41 @@ def score_ids(model: Model, ids: np.ndarray, docs: np.ndarray, end: int, rows: i
     covered = np.where(number == 0, first, np.concatenate(([0], np.minimum(begin + WINDOW, stop)[:-1])))
     seen, parts = _seen(model.place), model.table.shape[1]
     prob, border = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
-    span = np.arange(WINDOW)
-    for at in range(0, len(begin), rows):
-        place = begin[at : at + rows, None] + span
-        x = context.take(place, mode="clip")
-        _, u, _ = attend(model.rows.take(x, 0), seen, parts)
-        u = u.reshape(-1, parts)
-        live = np.flatnonzero(((place >= covered[at : at + rows, None]) & (place < stop[at : at + rows, None])).ravel())
-        where = place.ravel()[live]
-        mass = np.matmul(u, model.sums)  # of all parts, and of those that begin a word
-        mass[:, 1] /= mass[:, 0]
-        next_id = np.einsum("ij,ij->i", u, model.table.take(ids.take(place.ravel(), mode="clip"), 0))
-        next_id /= mass[:, 0]
-        prob[where], border[where] = next_id[live], mass[live, 1]
+    # a text's later windows score nothing in their first places, which are context alone
+    for windows, skip in ((np.flatnonzero(number == 0), 0), (np.flatnonzero(number > 0), WINDOW - STRIDE)):
+        for at in range(0, len(windows), rows):
+            some = windows[at : at + rows]
+            x = context.take(begin[some, None] + np.arange(WINDOW), mode="clip")
+            place = begin[some, None] + np.arange(skip, WINDOW)
+            _, u, _ = attend(model.rows.take(x, 0), seen, parts, skip)
+            u = u.reshape(-1, parts)
+            live = np.flatnonzero(((place >= covered[some, None]) & (place < stop[some, None])).ravel())
+            where = place.ravel()[live]
+            mass = np.matmul(u, model.sums)  # of all parts, and of those that begin a word
+            mass[:, 1] /= mass[:, 0]
+            next_id = np.einsum("ij,ij->i", u, model.table.take(ids.take(place.ravel(), mode="clip"), 0))
+            next_id /= mass[:, 0]
+            prob[where], border[where] = next_id[live], mass[live, 1]
     return np.log(np.maximum(prob, 1e-30)), np.log(np.clip(border, 1e-30, 1.0))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, n) of a partition's words, in parts of bounded size; each text ends with the end."""
-    seen: Counter = Counter()
+    parts: list[pa.Table] = []
 
     def out() -> pa.RecordBatch:
-        hashes = np.fromiter(map(_hash, seen), np.uint64, len(seen))
-        return batch(hash=pa.array(hashes.view(np.int64), pa.int64()), n=pa.array(list(seen.values()), pa.int64()))
+        found = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        parts.clear()
+        return batch(hash=pa.array(_hashes(_bytes(found.column("word").combine_chunks())).view(np.int64), pa.int64()), n=found.column("n_sum").combine_chunks())
 
     for b in batches:
-        for text in b.column(0).to_pylist():
-            seen.update(words_of(text))
-            seen[END_WORD] += 1
-            if len(seen) > CACHE_SIZE:
+        for begin, stop in _taken(b.column(0), COUNT_CHARS):
+            words, n = split(b.column(0)[begin:stop])[0].value_counts().flatten()
+            parts.append(pa.table({"word": words.cast(pa.binary()), "n": n}))
+            if sum(map(len, parts)) > 2 * CACHE_SIZE:
                 yield out()
-                seen = Counter()
-    yield out()
+    if parts:
+        yield out()
 
 
 @dataclass
@@ -490,8 +550,11 @@ class Tables:
         return np.where(self.hashes[at] == hashes, self.counts[at], 0 if self.complete else -1)
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of words; an empty one is the end."""
+    found = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    found[found == xxhash.xxh64_intdigest(b"")] = xxhash.xxh64_intdigest(END_WORD)
+    return found
 
 
 class Scorer(Words):
@@ -499,21 +562,21 @@ class Scorer(Words):
 
     def __init__(self, model: Model, tables: Tables, share: float = SHARE):
         self.model, self.tables, self.share = model, tables, share
-        super().__init__(Spelling(model.ranks_path))
+        super().__init__(spelling_of(model.ranks_path))
 
     def empty(self) -> None:
         super().empty()
-        self.hashes, self.counts = np.full(1024, _hash(END_WORD), np.uint64), np.zeros(1024, np.int64)
+        self.hashes, self.counts = np.full(1024, _hashes([b""])[0], np.uint64), np.zeros(1024, np.int64)
         self.counts[:1] = self.tables.find(self.hashes[:1])
 
     def learn(self, first: int, words: list[bytes]) -> None:
         super().learn(first, words)
         stop = first + len(words)
         self.hashes, self.counts = _room(self.hashes, stop), _room(self.counts, stop)
-        self.hashes[first:stop] = np.fromiter(map(_hash, words), np.uint64, len(words))
+        self.hashes[first:stop] = _hashes(words)
         self.counts[first:stop] = self.tables.find(self.hashes[first:stop])
 
-    def score(self, texts: list[str]):
+    def score(self, texts: pa.Array):
         """Per text: tokens, known tokens, base and model log10 sums over the words that the table decides;
         and (text, word hash, log probability by the model) of the others."""
         number, begin = self.numbers(texts)
@@ -547,7 +610,7 @@ def _score(model, tables, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pickle.loads(model.value), tables.value, share)
         for b in batches:
-            keys, ids, held, texts = b.column(0), b.column(1), b.column(2), b.column(3).to_pylist()
+            keys, ids, held, texts = b.column(0), b.column(1), b.column(2), b.column(3)
             for at, stop in _taken(texts):
                 n, known, base, mixed, (text, hashes, word) = scorer.score(texts[at:stop])
                 k, none = stop - at, len(text)
@@ -578,9 +641,9 @@ def fit(docs: DataFrame, ranks_path: str, folds: int = 7, out: int = 2) -> Model
     rows = docs.where(fold("doc_id", folds) != out).select("doc_id", text_of().alias("text"))
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(START_DOCS)
     sample = rows.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(START_DOCS).collect()
-    spelling = Spelling(ranks_path)
+    spelling = spelling_of(ranks_path)
     words = Words(spelling)
-    sequences = [words.spelled(words.numbers([r.text])[0])[0] for r in sample]
+    sequences = [words.spelled(words.numbers(pa.array([r.text], pa.string()))[0])[0] for r in sample]
     now = train(sequences, spelling, ranks_path)
     shares = np.zeros(now.table.shape)
     for k in range(ROUNDS):
